@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import table
+from ._common import mapped, table
 
 #: Pieces kept by a worker; when full it is emptied, so memory stays bounded whatever the corpus.
 CACHE_PIECES = 200_000
@@ -206,7 +206,7 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, *, id_col: st
                 names.append("decoded")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(df.select(id_col, text_col), run, schema)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

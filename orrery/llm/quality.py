@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ._common import stored, table
+from ._common import mapped, stored, table
 
 STATISTICS = ("log_bytes", "upper", "symbols", "bangs", "pipes", "digits", "distinct_words", "repeats", "word_bytes", "blanks", "lines")
 #: Share of the target in the shrunk covariance, and the least variance of a statistic.
@@ -75,7 +75,7 @@ def add_statistics(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             stats = [statistics(x.as_py() or b"") for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], [id_col, "stats"])
 
-    return df.select(id_col, F.col(text_col).cast("binary").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, stats array<double>")
+    return mapped(df.select(id_col, F.col(text_col).cast("binary").alias("_text")), run, f"`{id_col}` {kind}, stats array<double>")
 
 
 @dataclass(frozen=True)

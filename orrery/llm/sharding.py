@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ._common import table
+from ._common import ship, table
 
 #: Rows that one numbering task takes, about.
 ROWS_A_BUCKET = 50_000
@@ -62,6 +62,7 @@ def assign_shards(df: DataFrame, key: str, shards: int, *, rows: int | None = No
     the rank inside a bucket plus the number of rows in the shard's earlier buckets. ``rows`` is the number of
     rows if the caller has it. The counting pass reads the key only.
     """
+    ship(df.sparkSession)
     total = df.count() if rows is None else rows
     buckets = max(1, math.ceil(total / (shards * ROWS_A_BUCKET)))
     mixed = key_hash(F.col(key))
