@@ -14,15 +14,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import mapped, table
 
-#: Pieces kept by a worker; when full it is emptied, so memory stays bounded whatever the corpus.
+#: Pieces that a worker keeps in each of two generations: a full young generation becomes the old one, whose pieces
+#: come back when they are used again. So memory stays bounded whatever the corpus, and frequent pieces stay.
 CACHE_PIECES = 200_000
 #: Pieces longer than this are encoded each time.
 CACHE_PIECE_CHARS = 64
@@ -36,7 +39,14 @@ class Vocabulary:
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self._parts: dict[int, tuple[int, int] | None] = {}
-        self._fits: dict[tuple[int, int], bool] = {}
+        self.size = max(ranks.values(), default=-1) + 1
+        self._fits: dict[int, bool] = {}
+        self.length = [len(self.bytes_of.get(i, b"")) for i in range(self.size)]
+        automaton = ahocorasick.Automaton()
+        for word, rank in ranks.items():
+            automaton.add_word(word.decode("latin-1"), rank)
+        automaton.make_automaton()
+        self._matches = automaton.iter
 
     def parts(self, token: int) -> tuple[int, int] | None:
         """The pair whose merge makes the token; None for a single byte."""
@@ -52,13 +62,34 @@ class Vocabulary:
             self._parts[token] = (self.ranks[pieces[0]], self.ranks[pieces[1]]) if len(pieces) == 2 else None
         return self._parts[token]
 
+    def fill(self, piece: bytes, last: list[int]) -> None:
+        """Append to ``last`` the last tokens of all longer prefixes of the piece; ``last[i]`` is that of the first i bytes."""
+        known, fits, size, length = self._fits.get, self.fits, self.size, self.length
+        filled = len(last) - 1
+        # all tokens that end at each byte, found by one automaton; a match that begins before the start is longer than any token
+        for at, token in self._matches(piece.decode("latin-1"), max(0, filled + 1 - self.longest)):
+            if at < filled:
+                continue
+            if at > filled:
+                break
+            start = at + 1 - length[token]
+            if start:
+                key = last[start] * size + token
+                ok = known(key)
+                if not (fits(last[start], token) if ok is None else ok):
+                    continue
+            last.append(token)
+            filled += 1
+        if filled < len(piece):
+            raise ValueError("the vocabulary does not cover these bytes")
+
     def fits(self, left: int, right: int) -> bool:
         """Whether the encoding of both tokens' bytes together is these two tokens.
 
         The merges are undone from the latest back: a merge across the border of a rank under all the
         merges undone so far would have come first, and then the two tokens would never have formed.
         """
-        key = (left, right)
+        key = left * self.size + right
         known = self._fits.get(key)
         if known is None:
             if len(self._fits) > 4 * CACHE_PIECES:
@@ -89,19 +120,9 @@ class PrefixTable:
         self.vocabulary, self.piece, self.last = vocabulary, b"", [-1]
         self.append(piece)
 
-    def _at(self, end: int) -> int:
-        v, piece, last = self.vocabulary, self.piece, self.last
-        for start in range(max(0, end - v.longest), end):
-            token = v.ranks.get(piece[start:end])
-            if token is not None and (start == 0 or v.fits(last[start], token)):
-                return token
-        raise ValueError("the vocabulary does not cover these bytes")
-
     def append(self, more: bytes) -> None:
-        first = len(self.piece) + 1
         self.piece += more
-        for end in range(first, len(self.piece) + 1):
-            self.last.append(self._at(end))
+        self.vocabulary.fill(self.piece, self.last)
 
     def replace(self, start: int, end: int, new: bytes) -> int:
         """Replace bytes start to end; returns how many prefixes were filled anew.
@@ -117,10 +138,9 @@ class PrefixTable:
             if same >= self.vocabulary.longest:
                 self.last.extend(old[at - shift :])
                 break
-            token = self._at(at)
+            self.vocabulary.fill(self.piece[:at], self.last)
             done += 1
-            self.last.append(token)
-            same = same + 1 if at - shift > end and old[at - shift] == token else 0
+            same = same + 1 if at - shift > end and old[at - shift] == self.last[at] else 0
         return done
 
     def tokens(self) -> list[int]:
@@ -138,14 +158,17 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = Vocabulary(ranks)
         self.split = regex.compile(pattern).findall
-        size = max(ranks.values(), default=-1) + 1
-        self.words = [self.vocabulary.bytes_of.get(i) for i in range(size)]
+        self.words = [self.vocabulary.bytes_of.get(i) for i in range(self.vocabulary.size)]
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = PrefixTable(self.vocabulary, piece.encode("utf-8")).tokens()
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        packed = self.old.get(piece)
+        if packed is None:
+            ids = PrefixTable(self.vocabulary, piece.encode("utf-8")).tokens()
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= CACHE_PIECE_CHARS:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
