@@ -18,6 +18,7 @@ import struct
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -208,7 +209,7 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, *, id_col: st
         coder = encoder(vocabulary, pattern)
         sha = lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
-            n, a, b, ids, back = [], [], [], [], []
+            n, a, b, all_ids, back = [], [], [], [], []
             for text in batch.column(1):
                 packed = coder.encode(text.as_py() or "")
                 decoded = coder.decode(packed)
@@ -216,13 +217,14 @@ def encode_documents(df: DataFrame, vocabulary: str, pattern: str, *, id_col: st
                 a.append(sha(packed))
                 b.append(sha(decoded))
                 if with_ids:
-                    ids.append(memoryview(packed).cast("I").tolist())
+                    all_ids.append(packed)
                 if with_decoded:
                     back.append(decoded)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                ends = np.cumsum([0, *n], dtype=np.int64).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(all_ids), "<i4"))))
                 names.append("ids")
             if with_decoded:
                 columns.append(pa.array(back, pa.binary()))

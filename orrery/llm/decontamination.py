@@ -20,11 +20,13 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
 
-from ._common import mapped, slices, table
+from ._common import mapped, ship, slices, table
 
 #: Fixed masks of one span: each has six positions that count, first and last included.
 MASKS = ("11010010011", "10110001101", "11001100101", "10011101001")
@@ -132,19 +134,45 @@ def _overlaps(texts: list[str | None], items: Items) -> Iterator[tuple[int, int,
                 yield (k, int(item), *best)
 
 
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str | None]]]:
+    """Ids and texts of the benchmark in blocks of about ``block_bytes``, dealt by hash; an empty benchmark is one empty block."""
+    size = benchmark.agg(F.sum(F.octet_length(item_text) + 16)).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    dealt = benchmark.select(F.col(item_id), F.col(item_text), F.pmod(F.xxhash64(F.col(item_text), F.col(item_id).cast("string")), F.lit(blocks)).alias("_block"))
+    for block in range(blocks):
+        rows = sorted(dealt.filter(F.col("_block") == block).collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+        yield [r[0] for r in rows], [r[1] for r in rows]
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without an overlap, all columns; nothing is shuffled."""
+    ship(docs.sparkSession)
+
+    def test(texts: list[str | None]):
+        @pandas_udf("boolean")
+        def free(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            items = Items(texts)
+            for batch in column:
+                rows = batch.tolist()
+                ok = np.ones(len(rows), bool)
+                for a, b in slices([len(t or "") for t in rows], CHUNK_BYTES):
+                    ok[[a + found[0] for found in _overlaps(rows[a:b], items)]] = False
+                yield pd.Series(ok)
+
+        return free
+
+    for _, texts in item_blocks(benchmark, item_id, item_text):
+        docs = docs.filter(test(texts)(F.col(text_col)))
+    return docs
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows ``id_col``, ``item_id``, ``doc_start``, ``item_start``, ``n_tokens`` and ``n_equal``, one for each overlap (positions in tokens)."""
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_id]
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, doc_start int, item_start int, n_tokens int, n_equal int"
-    size = benchmark.agg(F.sum(F.octet_length(item_text) + 16)).first()[0] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    # a stable deal of the items; a block is about block_bytes, never the whole table at any size
-    dealt = benchmark.select(F.col(item_id), F.col(item_text), F.pmod(F.xxhash64(F.col(item_text), F.col(item_id).cast("string")), F.lit(blocks)).alias("_block"))
     slim = docs.select(id_col, text_col)
     out = None
-    for block in range(blocks):
-        rows = sorted(dealt.filter(F.col("_block") == block).collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
+    for ids, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
             items = Items(texts)

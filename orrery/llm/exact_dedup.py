@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import dropped, stored, table
+from ._common import stored, table
 
 #: Bytes of a block.
 BLOCK = 2048
@@ -108,13 +108,23 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``id_col``, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` of the normalised text."""
+def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = identities(df, id_col, text_col).select("level", "name", "row", "head.*")
     # of equal texts: most code points, then smallest id, then the row read first
     best = F.min_by(F.struct("id", "row"), F.struct(-F.col("n_chars"), F.col("id").isNull(), "id", "row")).alias("best")
     groups = rows.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["level", "name"]).select(
+    return rows.join(groups, ["level", "name"])
+
+
+def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns. ``df`` must be a stored table: its rows are numbered twice."""
+    dropped_rows = _judged(df, id_col, text_col).filter(F.col("row") != F.col("best.row")).select(F.col("row").alias("__row"))
+    return df.withColumn("__row", F.monotonically_increasing_id()).join(dropped_rows, "__row", "left_anti").drop("__row")
+
+
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``id_col``, ``keep_id``, ``group_size``, ``kept`` and ``text_sha256`` of the normalised text."""
+    return _judged(df, id_col, text_col).select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
 

@@ -137,14 +137,32 @@ def held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 5 == 0
 
 
+def learnt(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Discriminant:
+    """The model from the labels of rows that are not held out."""
+    known = labels.select(F.col(id_col), F.col(label_col).alias("label")).filter(F.col("label").isNotNull() & ~held_out(id_col))
+    return fit(stats.join(known, id_col))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score ``threshold`` or more; texts are read twice and never shuffled."""
+    stats = stored(add_statistics(docs, id_col, text_col), "quality-stats")
+    model = learnt(stats, labels, id_col, label_col)
+
+    @pandas_udf("boolean")
+    def good(texts: pd.Series) -> pd.Series:
+        rows = [statistics(t or b"") for t in texts]
+        return pd.Series(model.scores(np.array(rows).reshape(-1, len(STATISTICS))) >= threshold)
+
+    return docs.filter(good(F.col(text_col).cast("binary")))
+
+
 def classify(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3) -> DataFrame:
     """Per document: the id, ``held_out``, ``stats``, ``score`` and ``predicted``.
 
     The statistics are computed once and stored in the shared folder, then joined with the labels as slim rows.
     """
     stats = stored(add_statistics(docs, id_col, text_col), "quality-stats")
-    known = labels.select(F.col(id_col), F.col(label_col).alias("label")).filter(F.col("label").isNotNull() & ~held_out(id_col))
-    model = fit(stats.join(known, id_col))
+    model = learnt(stats, labels, id_col, label_col)
     return score(stats, model).select(id_col, held_out(id_col).alias("held_out"), "stats", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
