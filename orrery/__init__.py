@@ -1,0 +1 @@
+"""Code-graph and corpus analytics on Spark: relations in, lazy DataFrames out."""
