@@ -44,6 +44,11 @@ def dropped(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def freed(spark: SparkSession) -> None:
+    """Have shuffle files of finished steps deleted now rather than when the driver next happens to collect garbage."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import dropped, stored
+from ._common import dropped, freed, stored
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """``node`` and ``comp``, its component's smallest node, for every node of the links (``a``, ``b``).
 
-    Every round a node takes the least label of itself and its neighbours, then the label of that label
-    (pointer jumping), so rounds grow with the logarithm of the longest path. Each round is stored. Equal
-    labels are combined before they are shuffled, so a hub's neighbours cost one row a task. Null nodes are
-    passed over; repeated links and loops change nothing; without links the result is empty.
+    Contraction: in a round every node takes the smallest node next to it, then that one's choice; links are rewritten to
+    the choices, and what became a loop or a repetition goes. So links shrink from round to round, the rounds grow with
+    the logarithm of the longest path, and all rounds together move a few times the links. Equal choices are combined
+    before they are shuffled, so a hub's neighbours cost one row a task. Null nodes are passed over; repeated links and
+    loops change nothing but that a node with a loop only is in the result; without links the result is empty.
     """
-    links = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-    both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
+    spark = links.sparkSession
+    proper = links.filter(F.col("a").isNotNull() & F.col("b").isNotNull())
+    now = stored(proper.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    found = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("near"))
-        least = labels.join(near, "node").select("node", "comp", F.least("comp", "near").alias("low"))
-        jump = labels.select(F.col("node").alias("low"), F.col("comp").alias("up"))
-        new = stored(least.join(jump, "low").select("node", F.col("comp").alias("old"), F.least("low", "up").alias("comp")), "labels")
-        changed = not new.filter("old <> comp").isEmpty()
-        dropped(labels)
-        labels = new.select("node", "comp")
-        if not changed:
-            dropped(both)
-            return labels
+        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("up"))
+        up = stored(up, "choices")
+        jumped = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("upper")), "up").select("node", F.col("upper").alias("up"))
+        jumped = stored(jumped, "choices")
+        if found is None:
+            found = jumped.select("node", F.col("up").alias("comp"))
+        else:
+            old = found
+            moved = old.join(jumped.select(F.col("node").alias("comp"), "up"), "comp", "left")
+            found = stored(moved.select("node", F.coalesce("up", "comp").alias("comp")), "labels")
+        at = lambda x: jumped.select(F.col("node").alias(x), F.col("up").alias(f"{x}_up"))
+        new = now.filter("a <> b").join(at("a"), "a").join(at("b"), "b").filter("a_up <> b_up")
+        new = stored(new.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct(), "links")
+        dropped(now)
+        dropped(up)
+        freed(spark)
+        if new.isEmpty():
+            return found
+        now = new

@@ -2,16 +2,16 @@
 
 Every distinct word shingle has one 64-bit hash; a document's sketch is its ``K`` smallest. Documents with one shingle
 set are one node from then on. Inverted lists of retained values generate candidate pairs; the K smallest of two
-sketches' union estimate the similarity and filter the pairs; the full sets of what remains are compared.
+sketches' union estimate the similarity; the full sets of what the estimate lets through are compared.
 
 Which lists count. Two sets at the threshold share ``NEED`` values of their sketches or more, but for a chance of about
 one in a million; so of each sketch only the ``size - NEED + 1`` rarest values (by the counts over the whole corpus) need
 lists. Values that very many documents share drop out of all but those documents that consist of them.
 
-Hot lists. Lists of ``SMALL`` nodes or fewer give all pairs. From longer ones pivots are drawn, each is compared with
-the list's other nodes, and linked nodes merge into components. A list is done when all its nodes that were not yet
-pivots lie in one component: every link between different components has a pivot at one end and was found. So a
-group of n near copies costs n comparisons for each of a few pivots, and no list is cut.
+Groups. Nodes that lists connect are a group; a group that grew beyond ``GROUP_MAX`` nodes is taken apart into its lists
+again. A group's full sets are compared in blocks of ``BLOCK`` nodes: a task gets two blocks, counts all intersections by one
+product of incidence matrices, and returns a spanning forest of the links, never all pairs. So no list is cut, no task gets
+more than two blocks, and each set is sent once for each block of its group. Components come from the forests.
 
 Defined results. Null and empty texts have no shingle and are linked with nothing. Equal sets are linked whatever the
 ids. Rows repeated with one id share a component and are all kept or all dropped. A null id is never a component's
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import mapped, slices, stored, table
+from ._common import dropped, freed, mapped, stored, table
 from .components import connected_components
 
 WORDS = 5
@@ -38,8 +38,10 @@ PERCENT = 85
 K = 32
 #: Shared values of two full sketches at the threshold, but for a chance of about 1e-6.
 NEED = 17
-#: Lists up to this length give all their pairs.
-SMALL = 12
+#: Nodes of a block, and of a group that is not taken apart.
+BLOCK, GROUP_MAX = 256, 20_000
+#: Nodes up to which their ids are sent to all tasks that look for their texts; beyond, texts and ids are joined by a shuffle.
+BROADCAST_NODES = 500_000
 #: Words a worker remembers the hash of; then it starts anew.
 CACHE_WORDS = 300_000
 
@@ -78,28 +80,23 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id``, ``n_shingles``, ``node`` (digest of the set; null if it is empty) and ``sketch`` (signed, in the hash's own order)."""
+    """``row`` (one number a row), ``id``, ``n_shingles``, ``node`` (digest of the set; null if it is empty) and ``sketch`` (signed, in the hash's own order)."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, nodes, kept = [], [], []
-            for x in batch.column(1):
+            for x in batch.column(2):
                 s = shingles(x.as_py() or b"")
                 n.append(len(s))
                 nodes.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 kept.append(s[:K].view(np.int64))
             ends = np.cumsum([0, *map(len, kept)], dtype=np.int32)
             flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-            yield pa.RecordBatch.from_arrays(arrays, ["id", "n_shingles", "node", "sketch"])
+            arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+            yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "n_shingles", "node", "sketch"])
 
-    return mapped(df.select(F.col(id_col), F.col(text_col).cast("binary")), run, f"id {kind}, n_shingles long, node binary, sketch array<long>")
-
-
-def _rank_key(value):
-    # unsigned order of a signed long
-    return value.bitwiseXOR(F.lit(-(1 << 63)))
+    return mapped(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")), run, f"row long, id {kind}, n_shingles long, node binary, sketch array<long>")
 
 
 def inverted_lists(nodes: DataFrame) -> DataFrame:
@@ -115,100 +112,160 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
     return ranked.select("node", F.explode(rare).alias("x")).filter("x.df > 1").select("x.value", "node", "x.df")
 
 
-def _estimated(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs whose sizes and union sketch allow the threshold."""
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.transform("sketch", _rank_key).alias(f"s_{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    union = F.slice(F.array_sort(F.array_union("s_a", "s_b")), 1, K)
-    both = F.size(F.array_intersect(union, F.array_intersect("s_a", "s_b")))
-    # fewer values than K in the union: it is the whole union, and the estimate is exact
-    enough = F.when(F.size(union) < K, both * 100 >= F.size(union) * PERCENT).otherwise(both >= NEED)
-    return joined.filter(fits & enough).select("a", "b")
-
-
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
-    side = lambda x: texts.select(F.col("node").alias(x), F.col("text").alias(f"t_{x}"))
+def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, send: bool) -> DataFrame:
+    """``node`` and ``set``, the bytes of its sorted shingle hashes, for the wanted (``node``, ``digest``, ``rep``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[bytes | None, np.ndarray] = (None, np.zeros(0, np.uint64))
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = batch.column(2)[i].as_py(), batch.column(3)[i].as_py()
-                if last[0] != a:
-                    last = (a, shingles(a))
-                x, y = last[1], shingles(b)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * common >= PERCENT * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            nodes, sets = [], []
+            for node, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                data = shingles(text.as_py() or b"").tobytes()
+                # repeated ids may have other texts
+                if hashlib.blake2b(data, digest_size=16).digest() == digest:
+                    nodes.append(node)
+                    sets.append(data)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], ["node", "set"])
 
-    return mapped(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b"), run, "a binary, b binary")
-
-
-def _texts(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``node`` and one whole text of it, for the wanted (``node``, ``rep``)."""
+    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
+    joined = source.join(F.broadcast(wanted) if send else wanted, F.col("_id").eqNullSafe(F.col("rep")))
+    return mapped(joined.select("node", "digest", "text"), run, "node long, set binary")
+
+
+def linked(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets; with ``left`` over 0, of those between the first ``left`` sets and the others."""
+    n = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    rows, columns = (0, left) if left else (0, 0)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.append(True, values[1:] != values[:-1])
+    run = np.cumsum(new) - 1
+    shared = np.bincount(run)[run] > 1
+    run, owner = np.unique(run[shared], return_inverse=True)[1], owner[shared]
+    common = np.zeros((left or n, n - columns), np.float32)
+    step = 4096
+    bounds = np.searchsorted(run, np.arange(0, (run[-1] + 1 if len(run) else 0) + step, step))
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        incidence = np.zeros((n, step), np.float32)
+        incidence[owner[a:b], run[a:b] - k * step] = 1
+        common += incidence[rows : left or n] @ incidence[columns:].T
+    union = sizes[rows : left or n, None] + sizes[None, columns:] - common
+    parent = list(range(n))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    # exact: counts are whole numbers far below 2**24
+    for a, b in zip(*np.nonzero(100 * common.astype(np.int64) >= PERCENT * union.astype(np.int64)), strict=True):
+        x, y = int(a), int(b) + columns
+        if x != y and (p := root(x)) != (q := root(y)):
+            parent[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+def _plausible(sketch: np.ndarray, other: np.ndarray, n: int, m: int) -> bool:
+    """Whether the sizes and the union sketch allow the threshold."""
+    if min(n, m) * 100 < PERCENT * max(n, m):
+        return False
+    both = np.intersect1d(sketch, other, assume_unique=True)
+    union = np.union1d(sketch, other)[:K]
+    hits = int((both <= union[-1]).sum())
+    return hits * 100 >= len(union) * PERCENT if len(union) < K else hits >= NEED
+
+
+def _links(dealt: DataFrame) -> DataFrame:
+    """(``a``, ``b``) from (``grp``, ``i``, ``j``, ``block``, ``node``, ``set``) sorted by all but the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
+            nodes, sets = [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows]
+            left = sum(r[0] == key[1] for r in rows) if key[1] != key[2] else 0
+            # of two nodes the estimate comes first; a block's product gives all intersections at once
+            if len(rows) == 2 and not _plausible(sets[0][:K], sets[1][:K], len(sets[0]), len(sets[1])):
+                pairs = []
+            else:
+                pairs = linked(sets, left) if len(rows) > left else []
+            return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()), pa.array([nodes[y] for _, y in pairs], pa.int64())], ["a", "b"])
+
+        key, rows = None, []
         for batch in batches:
-            # repeated ids may have other texts
-            keep = [i for i in range(batch.num_rows) if hashlib.blake2b(shingles(batch.column(1)[i].as_py() or b"").tobytes(), digest_size=16).digest() == batch.column(0)[i].as_py()]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    source = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("text"))
-    return mapped(source.join(wanted, F.col("_id").eqNullSafe(F.col("rep"))).select("node", "text"), run, "node binary, text binary").dropDuplicates(["node"])
+            for g, i, j, block, node, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, i, j) != key:
+                    if len(rows) > 1:
+                        yield solve(key, rows)
+                    key, rows = (g, i, j), []
+                # a node whose text was found twice
+                if not rows or rows[-1][1] != node:
+                    rows.append((block, node, data))
+        if len(rows) > 1:
+            yield solve(key, rows)
+
+    return mapped(dealt, run, "a long, b long")
+
+
+def _grouped(lists: DataFrame) -> DataFrame:
+    """(``grp``, ``node``, ``blocks``): groups of nodes that lists connect, or single lists where a group is too large; with its number of blocks."""
+    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
+    groups = connected_components(lists.join(heads, "value").filter("node <> a").select("a", F.col("node").alias("b")))
+    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
+    whole = groups.join(sizes.filter(F.col("size") <= GROUP_MAX), "comp").select(F.concat(F.lit("g"), F.col("comp").cast("string")).alias("grp"), "node", "size")
+    parts = lists.join(groups.join(sizes.filter(F.col("size") > GROUP_MAX), "comp").select("node"), "node", "left_semi")
+    lengths = parts.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
+    parts = parts.join(lengths, "value").select(F.concat(F.lit("v"), F.col("value").cast("string")).alias("grp"), "node", "size")
+    return whole.unionByName(parts).select("grp", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+
+
+def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Per row: ``row``, ``id``, ``n_shingles`` and ``comp``, the number of its component (null without shingles)."""
+    rows = stored(sketches(df, id_col, text_col), "sketches")
+    nodes = rows.filter(F.col("node").isNotNull()).groupBy(F.col("node").alias("digest")).agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    # numbered once and stored: half the bytes of a digest, and they compress
+    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    freed(df.sparkSession)
+    lists = stored(inverted_lists(nodes), "lists")
+    freed(df.sparkSession)
+    grouped = stored(_grouped(lists), "groups")
+    wanted = nodes.select("node", "digest", "rep").join(grouped.select("node").distinct(), "node", "left_semi")
+    sets = stored(_sets(df, id_col, text_col, wanted, grouped.count() <= BROADCAST_NODES), "sets")
+    # a node of block i goes to the pairs of blocks (i, j) for all j
+    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    dealt = grouped.join(sets, "node").withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
+    dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "node")
+    links = stored(_links(dealt), "links")
+    dropped(sets)
+    freed(df.sparkSession)
+    components = connected_components(links)
+    named = nodes.select(F.col("digest").alias("node"), F.col("node").alias("number")).join(components.withColumnRenamed("node", "number"), "number", "left")
+    named = named.select("node", F.coalesce("comp", "number").alias("comp"))
+    return rows.select("row", "id", "n_shingles", "node").join(named, "node", "left").select("row", "id", "n_shingles", "comp")
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``."""
-    rows = stored(sketches(df, id_col, text_col), "sketches")
-    nodes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
-    nodes = stored(nodes, "nodes")
-    # a value may be rare in one sketch's order only: what is left of a list may be one node
-    lists = inverted_lists(nodes)
-    lists = stored(lists.join(lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "value"), "lists")
-    wanted = nodes.select("node", "rep").join(lists.select("node").distinct(), "node", "left_semi")
-    texts = stored(_texts(df, id_col, text_col, wanted), "texts")
-
-    def links_of(pairs: DataFrame) -> DataFrame:
-        ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return stored(_verified(_estimated(ordered, nodes), texts), "links")
-
-    small = lists.filter(F.col("size") <= SMALL).select("value", "node")
-    links = links_of(small.withColumnRenamed("node", "a").join(small.withColumnRenamed("node", "b"), "value").filter("a < b").select("a", "b"))
-    components = connected_components(links)
-    large = lists.filter(F.col("size") > SMALL).select("value", "node")
-    used = None
-    drawn = 1
-    while True:
-        # nodes of the large lists with their components; whoever was a pivot of the list is marked
-        at = large.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        if used is not None:
-            at = at.join(used, "value", "left").withColumn("done", F.coalesce(F.array_contains("pivots", F.col("node")), F.lit(False))).drop("pivots")
-        else:
-            at = at.withColumn("done", F.lit(False))
-        at = stored(at, "members")
-        picks = [F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(i))).alias(f"p{i}") for i in range(drawn)]
-        open_lists = at.filter(~F.col("done")).groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *picks).filter("low <> high")
-        open_lists = stored(open_lists.select("value", F.array_distinct(F.array(*(f"p{i}" for i in range(drawn)))).alias("picks")), "pivots")
-        if open_lists.isEmpty():
-            break
-        pairs = at.join(open_lists, "value").select("node", "comp", F.explode("picks").alias("p")).filter("p.comp <> comp").select(F.col("node").alias("a"), F.col("p.node").alias("b"))
-        links = stored(links.unionByName(links_of(pairs)), "links")
-        components = connected_components(links)
-        now = open_lists.select("value", F.transform("picks", lambda p: p["node"]).alias("pivots"))
-        used = now if used is None else used.unionByName(now).groupBy("value").agg(F.array_distinct(F.flatten(F.collect_list("pivots"))).alias("pivots"))
-        used = stored(used, "used")
-        drawn = min(2 * drawn, 16)
-    named = rows.join(components, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = _labelled(df, id_col, text_col)
     names = named.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
     out = named.join(names, "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` with the smallest id of their component, all columns; one row of each. ``df`` must be a stored table."""
+    named = stored(_labelled(df, id_col, text_col).filter(F.col("comp").isNotNull()), "components")
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    first = named.groupBy("comp").agg(F.min_by("row", order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dropped_rows = named.join(first, "comp").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row"))
+    return df.withColumn("__row", F.monotonically_increasing_id()).join(dropped_rows, "__row", "left_anti").drop("__row")
+
+
 def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
     return near_components(table(spark, sf_dir, "documents"))
