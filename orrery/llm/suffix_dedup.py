@@ -24,7 +24,6 @@ results; further columns do not matter. The input must be read alike when a task
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,21 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, mapped, shared_dir, stored, table
+from ._common import freed, mapped, stored, table
 
 LENGTH = 100
 #: Bytes of a minimiser.
-GRAM = 16
+GRAM = 32
 #: Bytes of text that a worker hashes at once; positions in it fill the low bits of the ordered values.
 CHUNK_BITS = 20
 #: Different contexts of one minimiser that go into one transform.
 CAP = 5_000
 #: Bytes of contexts in one transform, about.
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 1 << 18
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
-#: Never in UTF-8: ends each context in a block.
-_END = 255
+#: Never in UTF-8: ends each context in a block. Strings with it are never looked at.
+_END = b"\xff"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -213,7 +212,10 @@ def _sifted(occurrences: DataFrame, cap: int = CAP) -> DataFrame:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes sorted by their first 128 bytes or more, ties by place: prefix doubling from packed words of 8 bytes."""
+    """Suffixes sorted by their first 128 bytes or more: prefix doubling from packed words of 8 bytes.
+
+    Ties may stand in any order: intervals of shorter prefixes hold them all.
+    """
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
@@ -221,15 +223,15 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         key = (key << np.uint64(8)) | padded[j : j + n]
     width = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1]))
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.cumsum(np.append(0, ranked[1:] != ranked[:-1])).astype(np.uint64)
         if width >= 128 or rank[order[-1]] == n - 1:
             return order
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + after
+        after = np.zeros(n, np.uint64)
+        after[: n - width] = rank[width:] + np.uint64(1)
+        key = (rank << np.uint64(32)) | after
         width *= 2
 
 
@@ -268,7 +270,7 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, bound: int) -> np.ndarr
 
 def covered_starts(parts: list[bytes], order: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, start) of all windows in the contexts that a context of smaller (order, start) has too."""
-    text = np.frombuffer(b"".join(p + b"\xff" for p in parts), np.uint8)
+    text = np.frombuffer(b"".join(p + _END for p in parts), np.uint8)
     lengths = np.array([len(p) + 1 for p in parts])
     begins = np.cumsum(lengths) - lengths
     owner = np.repeat(np.arange(len(parts)), lengths)
@@ -364,11 +366,6 @@ def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(rows.join(numbers, "row").select("id", "ord", "bytes"), "ordered")
 
 
-def _freed(spark: SparkSession) -> None:
-    """Have shuffle files of finished steps deleted now rather than when the driver next happens to collect garbage."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_stretches(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """(``ord``, ``a``, ``m``): m windows from a on start earlier elsewhere; of documents (``ord``, ``bytes``)."""
     spark = docs.sparkSession
@@ -376,9 +373,9 @@ def repeated_stretches(docs: DataFrame, cap: int = CAP) -> DataFrame:
     sifted = stored(_sifted(occurrences, cap), "sifted")
     covered = sifted.filter("kind = 0").select("ord", "a", "m")
     wanted = sifted.filter("kind > 0")
-    _freed(spark)
+    freed(spark)
     cut = stored(_cut(docs, wanted), "contexts")
-    _freed(spark)
+    freed(spark)
     near = cut.filter("kind = 1").select("h", "ord", "a", "m", "ctx").repartition("h").sortWithinPartitions("h")
     near = stored(_compared(near), "compared")
     split = stored(_windows(cut.filter("kind = 2").select("h", "ord", "a", "m", "ctx")), "windows")
@@ -393,7 +390,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     docs = _ordered(df, id_col, text_col)
     lists = repeated_stretches(docs, cap).groupBy("ord").agg(F.collect_list(F.struct("a", "m")).alias("spans"))
     lists = stored(lists, "spans")
-    _freed(df.sparkSession)
+    freed(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
