@@ -9,21 +9,27 @@ from ..functions.scalars import hash32
 from ..options import DEFAULTS, Options
 
 
-def winnow(values: Column, k: int = DEFAULTS.winnow_k, w: int = DEFAULTS.winnow_w, *, joiner: str = " ", digest=hash32) -> Column:
-    """Distinct winnowed hashes of an array of tokens, inside one row: nothing is shuffled or windowed.
+def _held(df: DataFrame, name: str, value: Column, keep: tuple[str, ...]) -> DataFrame:
+    """``value`` as a column of its own, computed once a row: an expression inside a lambda would be evaluated for each element.
 
-    Fewer tokens than ``k`` give one hash of all, fewer grams than ``w`` their minimum, else the minimum of every full window.
-    The grams are an array built once; window minima come by doubling shifted copies, not by slices of slices.
+    Generating one row from an array of one keeps the optimizer from pulling the expression into the lambda again.
     """
-    size = F.size(values)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), size - k + 1)), lambda i: digest(F.array_join(F.slice(values, i, k), joiner)))
-    minima = lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(g) - w + 1)), lambda i: F.array_min(F.slice(g, i, w)))
-    return F.when(size == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(minima(grams)))
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
 
 
-def fingerprint_index(units: DataFrame, tokens: str = "tokens", keys: tuple[str, ...] = ("path", "line"), o: Options = DEFAULTS) -> DataFrame:
-    """(keys, ``fp_value``), distinct within a unit."""
-    return units.select(*keys, F.explode(winnow(F.col(tokens), o.winnow_k, o.winnow_w)).alias("fp_value"))
+def fingerprint_index(units: DataFrame, tokens: Column | str = "tokens", keys: tuple[str, ...] = ("path", "line"), o: Options = DEFAULTS, *, joiner: str = " ", digest=hash32) -> DataFrame:
+    """(keys, ``fp_value``), distinct within a unit: winnowed hashes of the unit's tokens, made inside its row without a shuffle.
+
+    Fewer tokens than ``winnow_k`` give one hash of all, fewer grams than ``winnow_w`` their minimum, else the minimum of
+    every full window; no tokens give no row.
+    """
+    k, w = o.winnow_k, o.winnow_w
+    full = lambda n, width: F.sequence(F.lit(1), F.greatest(F.lit(1), n - width + 1))
+    rows = _held(units, "_t", F.col(tokens) if isinstance(tokens, str) else tokens, keys).filter(F.size("_t") > 0)
+    grams = F.transform(full(F.size("_t"), k), lambda i: digest(F.array_join(F.slice("_t", i, k), joiner)))
+    rows = _held(rows, "_g", grams, keys)
+    minima = F.transform(full(F.size("_g"), w), lambda i: F.array_min(F.slice("_g", i, w)))
+    return rows.select(*keys, F.explode(F.array_distinct(minima)).alias("fp_value"))
 
 
 def flood(index: DataFrame, o: Options = DEFAULTS) -> DataFrame:

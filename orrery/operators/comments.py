@@ -10,7 +10,8 @@ from ..options import DEFAULTS, Options
 
 
 def marker_pattern(markers: tuple[str, ...]) -> str:
-    return r"\b(" + "|".join(markers) + r")\b"
+    # word borders as letters, digits and underscores of any script make them
+    return r"(?<![\p{L}\p{N}_])(" + "|".join(markers) + r")(?![\p{L}\p{N}_])"
 
 
 def first_tag(text: Column | str, o: Options = DEFAULTS) -> Column:

@@ -118,9 +118,9 @@ def hierarchy(refs: DataFrame, symbols: DataFrame, seed: DataFrame, direction: s
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def impact(callers: DataFrame, important: DataFrame | None = None, entry=None) -> DataFrame:
+def impact(callers: DataFrame, important: DataFrame | None = None, entry=None, test=None) -> DataFrame:
     """``callers`` with ``bucket`` (test, entrypoint, prod, uncertain), ``direct`` and ``important``."""
-    test = is_test_path("path")
+    test = test if test is not None else is_test_path("path")
     entry = entry if entry is not None else F.lit(False)
     bucket = F.when(F.col("confidence") != "high", "uncertain").when(test, "test").when(entry, "entrypoint").otherwise("prod")
     rows = callers.withColumn("bucket", bucket).withColumn("direct", F.col("depth") == 1)

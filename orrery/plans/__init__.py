@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("code_graph",)
+MODULES = ("code_graph", "ranking", "duplicates", "text", "maintenance")
 
 
 def load():
