@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import hash32
 from ..options import DEFAULTS, Options
+from ..runtime import stored
 
 
 def _held(df: DataFrame, name: str, value: Column, keep: tuple[str, ...]) -> DataFrame:
@@ -44,7 +45,8 @@ def near_pairs(index: DataFrame, units: DataFrame, key: str = "unit", shape: str
     the index. ``scope`` (``key``) keeps pairs with a member in it; with ``compat`` the sets are cut to the scope's values
     as a narrow scan would see them, which inflates the similarity; by default both sets are whole.
     """
-    index = index.select(key, "fp_value").distinct()
+    # read by the count, the join's sides and the sizes: stored once
+    index = stored(index.select(key, "fp_value").distinct(), "index")
     kept = index.join(flood(index, o).select("fp_value"), "fp_value", "left_anti")
     seeds = None
     if scope is not None:
@@ -53,10 +55,8 @@ def near_pairs(index: DataFrame, units: DataFrame, key: str = "unit", shape: str
         candidates = kept.join(values, "fp_value", "left_semi")
     else:
         candidates = kept
+    # with compat the scope's own sets are whole, the others' are what shares a value with them
     sized = candidates if compat and scope is not None else kept
-    if compat and scope is not None:
-        # the scope's own sets are whole, the others' are what shares a value with them
-        sized = candidates
     sizes = sized.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     left = (seeds if seeds is not None else candidates).select(F.col(key).alias("l"), "fp_value")
     right = candidates.select(F.col(key).alias("r"), "fp_value")
@@ -107,7 +107,6 @@ def call_patterns(fingerprints: DataFrame, o: Options = DEFAULTS) -> DataFrame:
 def duplicates(fingerprints: DataFrame, index: DataFrame, o: Options = DEFAULTS, *, scope_file: str | None = None, near_global: bool = False, call_pattern: bool = False, compat: bool = False) -> DataFrame:
     """All groups: (``verdict``, ``size``, ``similarity``, ``members``). Detection is global; a scope only filters what is returned."""
     groups = shape_groups(fingerprints, o).select("verdict", "size", F.when(F.col("verdict") == "EXACT_DUP", F.lit(1.0)).alias("similarity"), "members")
-    stage1 = groups
     if scope_file or near_global:
         unit = F.concat_ws("\x1f", "path", F.col("line").cast("string"))
         idx = index.select(unit.alias("unit"), "fp_value")
@@ -120,7 +119,6 @@ def duplicates(fingerprints: DataFrame, index: DataFrame, o: Options = DEFAULTS,
         groups = groups.unionByName(joined.select(F.lit("NEAR_DUP").alias("verdict"), F.lit(2).cast("long").alias("size"), "similarity", F.array_sort(F.array("ma", "mb")).alias("members")))
     if call_pattern:
         groups = groups.unionByName(call_patterns(fingerprints, o).select(F.lit("CALL_PATTERN").alias("verdict"), "size", F.lit(None).cast("double").alias("similarity"), "members"))
-    del stage1
     if scope_file:
         groups = groups.filter(F.exists("members", lambda m: m["path"] == scope_file))
     return groups

@@ -12,12 +12,11 @@ from ..options import DEFAULTS, Options
 def tokens(lines: DataFrame, *, lower: bool = False) -> DataFrame:
     """(``path``, ``line``, ``name``, ``mult``): identifiers of each line and how often it has them.
 
-    Counting stays inside the row of the line, so nothing is shuffled here.
+    All names of a line are in one task, so the count is finished by the map-side half of the aggregation.
     """
     text = F.lower("txt") if lower else F.col("txt")
-    names = lines.select("path", "line", F.regexp_extract_all(text, F.lit(f"({IDENTIFIER})"), F.lit(1)).alias("names"))
-    counted = F.transform(F.array_distinct("names"), lambda n: F.struct(n.alias("name"), F.size(F.filter("names", lambda x: x == n)).alias("mult")))
-    return names.select("path", "line", F.explode(counted).alias("t")).select("path", "line", "t.name", F.col("t.mult").cast("long").alias("mult"))
+    found = F.regexp_extract_all(text, F.lit(f"({IDENTIFIER})"), F.lit(1))
+    return lines.select("path", "line", F.explode(found).alias("name")).groupBy("path", "line", "name").agg(F.count(F.lit(1)).alias("mult"))
 
 
 def definition_counts(symbols: DataFrame) -> DataFrame:

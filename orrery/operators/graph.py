@@ -82,8 +82,9 @@ def traverse(refs: DataFrame, symbols: DataFrame, seed: DataFrame, direction: st
     if direction not in ("up", "down"):
         raise ValueError(f"unknown direction: {direction}")
     cols = ["name", "path", "line", "end_line", "high"]
-    sym = symbols.select("name", "path", "line", "end_line")
-    r = refs.select("src_path", "src_line", "symbol_name", "def_path", (F.col("confidence") == "high").alias("edge_high")).distinct()
+    # both are read in every hop: stored once, slim
+    sym = stored(symbols.select("name", "path", "line", "end_line"), "symbols")
+    r = stored(refs.select("src_path", "src_line", "symbol_name", "def_path", (F.col("confidence") == "high").alias("edge_high")).distinct(), "refs")
     frontier = stored(sym.join(seed.select("name", "path").distinct(), ["name", "path"]).withColumn("high", F.lit(True)).select(*cols).distinct(), "frontier")
     levels: list[DataFrame] = []
     for depth in range(1, max_hops + 1):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import edges, graph
 from ..options import DEFAULTS
+from ..runtime import stored
 from ..sources import corpus
 from ..sources.corpus import table, with_views
 from .catalog import query
@@ -115,7 +116,7 @@ def _chain_sql(direction: str) -> str:
 
 def _seeded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents")
-    refs = corpus.refs_demo(docs)
+    refs = stored(corpus.refs_demo(docs), "refs")
     seed = refs.groupBy(F.col("symbol_name").alias("name"), F.col("def_path").alias("path")).agg(F.sum("multiplicity").alias("n")).orderBy("n", "name", "path").limit(1).select("name", "path")
     return refs, corpus.symbols(docs), seed
 
