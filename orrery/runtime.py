@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,3 +32,19 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
 def maybe_broadcast(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint if a count proves it small; else as it is, for a shuffle join."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once an application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="orrery-")).resolve() / "orrery.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+            for file in sorted(package.rglob("*.py")):
+                out.write(file, file.relative_to(package.parent))
+        context.addPyFile(str(target))
+        _shipped.add(context.applicationId)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rule_tables import SKIP_DIRS
 from ..operators.comments import first_tag
+from ..runtime import ship
 from ..schemas import COMMENTS, FINGERPRINTS, SYMBOLS
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -201,6 +202,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
             out = [(kind, json.dumps(row)) for path, text in zip(batch["path"], batch["text"], strict=True) for kind, row in rows_of(path, text or "")]
             yield pd.DataFrame(out, columns=["kind", "row"])
 
+    ship(files.sparkSession)
     tagged = files.select("path", "text").mapInPandas(run, "kind string, row string")
     out = {k: tagged.filter(F.col("kind") == k).select(F.from_json("row", schema).alias("r")).select("r.*") for k, schema in ROWS.items()}
     out["comment"] = out["comment"].withColumn("tag", first_tag("text"))
