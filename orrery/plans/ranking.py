@@ -89,7 +89,9 @@ def map_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def symbol_map(symbols: DataFrame, refs: DataFrame, *, budget: int = DEFAULTS.token_budget, rounds: int = DEFAULTS.max_rounds, tolerance: float | None = DEFAULTS.tolerance, focus_names=(), focus_files=()) -> DataFrame:
     """``id`` and ``score`` of the top symbols: node edges, PageRank, and a limit from the token budget."""
     key = lambda path, line, kind: F.concat_ws(":", path, F.col(line).cast("string"), kind)
-    between = edges.node_edges(refs, symbols)
+    # the edges are read for the sources, the weights and the total: stored once
+    refs = stored(refs, "refs")
+    between = stored(edges.node_edges(refs, symbols), "node-edges")
     inner = between.filter("src_path IS NOT NULL").select(key("src_path", "src_node_line", "src_kind").alias("src"), key("dst_path", "dst_line", "dst_kind").alias("dst"), "weight")
     outer = between.filter("src_path IS NULL").select(key("dst_path", "dst_line", "dst_kind").alias("id"), "weight")
     nodes = graph.teleport(symbols, focus_names, focus_files).select(key("path", "line", "kind").alias("id"), "weight")
