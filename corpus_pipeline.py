@@ -12,7 +12,7 @@ from orrery.llm._common import stored, table
 from orrery.llm.bpe import encode_documents
 from orrery.llm.decontamination import without_leaks
 from orrery.llm.exact_dedup import without_copies
-from orrery.llm.near_dedup import without_near_copies
+from orrery.llm.near_dedup import STAGE_PERCENT, without_near_copies
 from orrery.llm.quality import accepted
 
 
@@ -27,8 +27,8 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near copies."""
-    return without_near_copies(docs)
+    """The document of smallest id of each component of near copies: shingle sets with a Jaccard similarity of 0.8 or more."""
+    return without_near_copies(docs, percent=STAGE_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ Every distinct word shingle has one 64-bit hash; a document's sketch is its ``K`
 set are one node from then on. Inverted lists of retained values generate candidate pairs; the K smallest of two
 sketches' union estimate the similarity; the full sets of what the estimate lets through are compared.
 
-Which lists count. Two sets at the threshold share ``NEED`` values of their sketches or more, but for a chance of about
-one in a million; so of each sketch only the ``size - NEED + 1`` rarest values (by the counts over the whole corpus) need
-lists. Values that very many documents share drop out of all but those documents that consist of them.
+The threshold is ``percent``: ``PERCENT`` is the contract of op9; near-duplicate stages pass ``STAGE_PERCENT``.
+
+Which lists count. Two sets at the threshold share ``needed(percent)`` values of their sketches or more, but for a chance of
+``MISS``; so of each sketch only the ``size - needed + 1`` rarest values (by the counts over the whole corpus) need lists. Values that very many documents share drop out of all but those documents that consist of them.
 
 Groups. Nodes that lists connect are a group; a group that grew beyond ``GROUP_MAX`` nodes is taken apart into its lists
 again. A group's full sets are compared in blocks of ``BLOCK`` nodes: a task gets two blocks, counts all intersections by one
@@ -22,6 +23,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +36,11 @@ from ._common import dropped, freed, mapped, stored, table
 from .components import connected_components
 
 WORDS = 5
-#: Links have 100 * intersection >= PERCENT * union.
-PERCENT = 85
+#: Links have 100 * intersection >= percent * union: op9's contract, and the threshold of near-duplicate stages.
+PERCENT, STAGE_PERCENT = 85, 80
 K = 32
-#: Shared values of two full sketches at the threshold, but for a chance of about 1e-6.
-NEED = 17
+#: Greatest chance that two full sketches at the threshold share fewer values than ``needed``.
+MISS = 4e-6
 #: Nodes of a block, and of a group that is not taken apart.
 BLOCK, GROUP_MAX = 256, 20_000
 #: Nodes up to which their ids are sent to all tasks that look for their texts; beyond, texts and ids are joined by a shuffle.
@@ -45,6 +48,16 @@ BROADCAST_NODES = 500_000
 #: Words a worker remembers the hash of; then it starts anew.
 CACHE_WORDS = 300_000
 
+
+@cache
+def needed(percent: int) -> int:
+    """Shared values of two full sketches at the threshold, but for a chance of ``MISS``: a binomial tail."""
+    p, below, need = percent / 100, 0.0, 0
+    while need < K and (below := below + comb(K, need) * p**need * (1 - p) ** (K - need)) <= MISS:
+        need += 1
+    return max(1, need)
+
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _ODD = (np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -99,7 +112,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return mapped(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")), run, f"row long, id {kind}, n_shingles long, node binary, sketch array<long>")
 
 
-def inverted_lists(nodes: DataFrame) -> DataFrame:
+def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(``value``, ``node``) for the rarest values of each sketch that another sketch has too."""
     each = nodes.select("node", "n_shingles", F.explode("sketch").alias("value"))
     shared = each.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
@@ -107,7 +120,7 @@ def inverted_lists(nodes: DataFrame) -> DataFrame:
         F.first("n_shingles").alias("n"), F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "value"))).alias("values")
     )
     size = F.size("values")
-    need = F.least(F.lit(NEED), F.ceil(F.col("n") * PERCENT / 100).cast("int"))
+    need = F.least(F.lit(needed(percent)), F.ceil(F.col("n") * percent / 100).cast("int"))
     rare = F.slice("values", F.lit(1), size - need + 1)
     return ranked.select("node", F.explode(rare).alias("x")).filter("x.df > 1").select("x.value", "node", "x.df")
 
@@ -131,7 +144,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, send: bo
     return mapped(joined.select("node", "digest", "text"), run, "node long, set binary")
 
 
-def linked(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:
+def linked(sets: list[np.ndarray], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
     """A spanning forest of the links among the sets; with ``left`` over 0, of those between the first ``left`` sets and the others."""
     n = len(sets)
     sizes = np.array([len(x) for x in sets])
@@ -162,7 +175,7 @@ def linked(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:
 
     out = []
     # exact: counts are whole numbers far below 2**24
-    for a, b in zip(*np.nonzero(100 * common.astype(np.int64) >= PERCENT * union.astype(np.int64)), strict=True):
+    for a, b in zip(*np.nonzero(100 * common.astype(np.int64) >= percent * union.astype(np.int64)), strict=True):
         x, y = int(a), int(b) + columns
         if x != y and (p := root(x)) != (q := root(y)):
             parent[max(p, q)] = min(p, q)
@@ -170,17 +183,17 @@ def linked(sets: list[np.ndarray], left: int) -> list[tuple[int, int]]:
     return out
 
 
-def _plausible(sketch: np.ndarray, other: np.ndarray, n: int, m: int) -> bool:
+def _plausible(sketch: np.ndarray, other: np.ndarray, n: int, m: int, percent: int) -> bool:
     """Whether the sizes and the union sketch allow the threshold."""
-    if min(n, m) * 100 < PERCENT * max(n, m):
+    if min(n, m) * 100 < percent * max(n, m):
         return False
     both = np.intersect1d(sketch, other, assume_unique=True)
     union = np.union1d(sketch, other)[:K]
     hits = int((both <= union[-1]).sum())
-    return hits * 100 >= len(union) * PERCENT if len(union) < K else hits >= NEED
+    return hits * 100 >= len(union) * percent if len(union) < K else hits >= needed(percent)
 
 
-def _links(dealt: DataFrame) -> DataFrame:
+def _links(dealt: DataFrame, percent: int) -> DataFrame:
     """(``a``, ``b``) from (``grp``, ``i``, ``j``, ``block``, ``node``, ``set``) sorted by all but the last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,10 +201,10 @@ def _links(dealt: DataFrame) -> DataFrame:
             nodes, sets = [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows]
             left = sum(r[0] == key[1] for r in rows) if key[1] != key[2] else 0
             # of two nodes the estimate comes first; a block's product gives all intersections at once
-            if len(rows) == 2 and not _plausible(sets[0][:K], sets[1][:K], len(sets[0]), len(sets[1])):
+            if len(rows) == 2 and not _plausible(sets[0][:K], sets[1][:K], len(sets[0]), len(sets[1]), percent):
                 pairs = []
             else:
-                pairs = linked(sets, left) if len(rows) > left else []
+                pairs = linked(sets, left, percent) if len(rows) > left else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()), pa.array([nodes[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
         key, rows = None, []
@@ -222,14 +235,14 @@ def _grouped(lists: DataFrame) -> DataFrame:
     return whole.unionByName(parts).select("grp", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
 
 
-def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """Per row: ``row``, ``id``, ``n_shingles`` and ``comp``, the number of its component (null without shingles)."""
     rows = stored(sketches(df, id_col, text_col), "sketches")
     nodes = rows.filter(F.col("node").isNotNull()).groupBy(F.col("node").alias("digest")).agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     # numbered once and stored: half the bytes of a digest, and they compress
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     freed(df.sparkSession)
-    lists = stored(inverted_lists(nodes), "lists")
+    lists = stored(inverted_lists(nodes, percent), "lists")
     freed(df.sparkSession)
     grouped = stored(_grouped(lists), "groups")
     wanted = nodes.select("node", "digest", "rep").join(grouped.select("node").distinct(), "node", "left_semi")
@@ -239,7 +252,7 @@ def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = grouped.join(sets, "node").withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
     dealt = dealt.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "block", "node")
-    links = stored(_links(dealt), "links")
+    links = stored(_links(dealt, percent), "links")
     dropped(sets)
     freed(df.sparkSession)
     components = connected_components(links)
@@ -248,18 +261,18 @@ def _labelled(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("row", "id", "n_shingles", "node").join(named, "node", "left").select("row", "id", "n_shingles", "comp")
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``."""
-    named = _labelled(df, id_col, text_col)
+    named = _labelled(df, id_col, text_col, percent)
     names = named.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
     out = named.join(names, "comp", "left")
     component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
 
-def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of ``df`` with the smallest id of their component, all columns; one row of each. ``df`` must be a stored table."""
-    named = stored(_labelled(df, id_col, text_col).filter(F.col("comp").isNotNull()), "components")
+    named = stored(_labelled(df, id_col, text_col, percent).filter(F.col("comp").isNotNull()), "components")
     order = F.struct(F.col("id").isNull(), "id", "row")
     first = named.groupBy("comp").agg(F.min_by("row", order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     dropped_rows = named.join(first, "comp").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row"))
@@ -268,4 +281,4 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document."""
-    return near_components(table(spark, sf_dir, "documents"))
+    return near_components(table(spark, sf_dir, "documents"), percent=PERCENT)

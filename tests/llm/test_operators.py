@@ -237,6 +237,37 @@ def test_near_components(docs, block, most, monkeypatch):
     assert {r["doc_id"] for r in collect(near_dedup.without_near_copies(docs))} == {k for k, v in truth.items() if k == v}
 
 
+def stage_kept_by_hand(rows):
+    """Ids that the stage keeps: the smallest of each component at Jaccard 0.8."""
+    sets = {k: shingle_set(t) for k, t in rows}
+    comp = {k: k for k in sets}
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if comp[a] != comp[b] and common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                old, new = max(comp[a], comp[b]), min(comp[a], comp[b])
+                comp = {k: new if c == old else c for k, c in comp.items()}
+    return {k for k, c in comp.items() if c == k}
+
+
+@pytest.mark.parametrize(("block", "most"), [(256, 20_000), (4, 5)])
+def test_near_stage_at_80(spark, docs, block, most, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GROUP_MAX", most)
+    rows = [(r["doc_id"], r["text"]) for r in collect(docs)]
+    want = stage_kept_by_hand(rows)
+    at_85, _ = components_by_hand(rows)
+    # the corpus has links between the two thresholds, or this test would say nothing
+    assert want < {k for k, v in at_85.items() if k == v}
+    assert {r["doc_id"] for r in collect(corpus_pipeline.near_dedup(spark, docs, ""))} == want
+
+
+def test_needed_values():
+    assert near_dedup.needed(85) == 17 and near_dedup.needed(80) == 14
+
+
 def test_near_components_of_odd_rows(odd, empty):
     rows = collect(near_dedup.near_components(odd))
     assert len(rows) == len(ODD)
