@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,33 +76,45 @@ class Project:
         symbols = self.tables.read("symbols").filter((F.col("name") == symbol) & F.col("kind").isin(*self.options.referenceable))
         if def_path:
             symbols = symbols.filter(F.col("path") == def_path)
-        first = symbols.orderBy("path", "line").limit(1).select(F.col("path").alias("def_path"), F.col("line").alias("def_line"))
-        imports = python_code.extract(self.files())["import"].filter(F.col("name") == symbol).select(F.col("path").alias("ipath"), F.substring_index("module", ".", -1).alias("stem")).distinct()
-        found = self._tokens().filter(F.col("name") == symbol).crossJoin(F.broadcast(first)).filter(~((F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line"))))
+        out = self._references(symbols.orderBy("path", "line").limit(1))
+        return out if include_low else out.filter("confidence = 'high'")
+
+    def _references(self, definitions: DataFrame) -> DataFrame:
+        """``find_references`` of many definitions (``path``, ``line``, ``name``) in one join by name."""
+        defs = definitions.select("name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).distinct()
+        imports = python_code.extract(self.files())["import"].select(F.col("path").alias("ipath"), F.col("name").alias("iname"), F.substring_index("module", ".", -1).alias("stem")).distinct()
+        found = self._tokens().join(defs, "name").filter(~((F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line"))))
         stem = F.regexp_extract("def_path", r"([^/]+)\.py$", 1)
-        joined = found.join(imports, (F.col("path") == F.col("ipath")) & (F.col("stem") == stem), "left")
+        joined = found.join(imports, (F.col("path") == F.col("ipath")) & (F.col("name") == F.col("iname")) & (F.col("stem") == stem), "left")
         high = (F.col("path") == F.col("def_path")) | F.col("ipath").isNotNull()
-        out = joined.select(F.col("path").alias("src_path"), F.col("line").alias("src_line"), F.col("name").alias("symbol_name"), "def_path", "def_line", F.when(high, "high").otherwise("low").alias("confidence"), F.col("mult").alias("multiplicity")).distinct()
-        return out if include_low else out.filter("confidence = 'high'")
+        return joined.select(F.col("path").alias("src_path"), F.col("line").alias("src_line"), F.col("name").alias("symbol_name"), "def_path", "def_line", F.when(high, "high").otherwise("low").alias("confidence"), F.col("mult").alias("multiplicity")).distinct()
 
     def reference_level(self, symbol: str) -> str:
         r = self.find_references(symbol).agg(F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "low").alias("low"))
         return r.select(reliability(F.lit("relational"), F.lit(True), F.col("high"), F.col("low"))).first()[0]
 
-    def build_refs(self, symbol: str) -> int:
-        """Store a name's high references, unless the index moved meanwhile."""
+    def build_refs(self, symbol: str, *, def_path: str | None = None) -> int:
+        """Store a name's high references (of the definition in one file, if given), unless the index moved meanwhile."""
         state = self._need()
-        refs = self.find_references(symbol, include_low=False)
-        old = self.tables.read("refs", state).filter(F.col("symbol_name") != symbol)
+        refs = self.find_references(symbol, def_path=def_path, include_low=False)
+        same = F.col("symbol_name") == symbol
+        old = self.tables.read("refs", state).filter(~(same & (F.col("def_path") == def_path) if def_path else same))
         from .schemas import conform
 
         return self.tables.commit({"refs": conform(old, "refs").unionByName(conform(refs, "refs"))}, state["version"])
 
-    def call_hierarchy(self, symbol: str, *, direction: str = "both", max_hops: int | None = None, def_path: str | None = None) -> DataFrame:
+    def call_hierarchy(self, symbol: str, *, direction: str = "both", max_hops: int | None = None, def_path: str | None = None, build_edges: bool = True) -> DataFrame:
+        """Callers and callees over the stored references; the symbol's own are found and stored first, unless told not to."""
         state = self._need()
         symbols = self.tables.read("symbols", state)
         seed = symbols.filter(F.col("name") == symbol)
         seed = (seed.filter(F.col("path") == def_path) if def_path else seed).orderBy("path", "line").limit(1)
+        if build_edges and (row := seed.first()) is not None:
+            # another writer came first: what is stored has to do
+            with suppress(tables.StaleVersion):
+                self.build_refs(symbol, def_path=row["path"])
+            state = self._need()
+            symbols = self.tables.read("symbols", state)
         return graph.hierarchy(self.tables.read("refs", state), symbols, seed, direction, max_hops or self.options.max_hops)
 
     def impact(self, symbol: str, *, max_hops: int | None = None, def_path: str | None = None) -> DataFrame:
@@ -125,10 +139,12 @@ class Project:
         return {"indexed": True, "version": state["version"]} | {r["table_name"]: r["rows"] for r in counts.collect()}
 
     def find_deadcode(self, scope_file: str | None = None) -> DataFrame:
+        """Verdicts of top-level symbols by the references found now; nothing needs to be stored before."""
         state = self._need()
         s = self.tables.read("symbols", state)
         s = s.filter(F.col("path") == scope_file) if scope_file else s
-        return rules.orphans(s, self.tables.read("refs", state), engine=F.lit("relational"), o=self.options)
+        judged = s.filter((F.col("scope") == "") & F.col("kind").isin(*self.options.referenceable) & rules.entry_reason("path").isNull())
+        return rules.orphans(s, self._references(judged), engine=F.lit("relational"), o=self.options)
 
     def find_unwired(self) -> DataFrame:
         s = self.tables.read("symbols", self._need())

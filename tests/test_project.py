@@ -64,3 +64,24 @@ def test_project(spark, tmp_path):
     (root / "pkg" / "core.py").write_text("def hub():\n    return 1\n")
     p.index_paths(["pkg/use.py", "pkg/core.py"])
     assert {r["name"] for r in p.get_symbols().collect()} == {"hub", "one", "two"} and p.status()["refs"] == 0
+
+
+def test_deadcode_and_hierarchy_of_a_fresh_index(spark, tmp_path):
+    root = tmp_path / "repo"
+    root.mkdir()
+    (root / "core.py").write_text("def hub():\n    return 1\n\n\ndef lonely():\n    return 2\n\n\ndef named():\n    return 3\n")
+    (root / "other.py").write_text("def hub():\n    return 0\n")
+    (root / "use.py").write_text("from core import hub\n\n\ndef caller():\n    named = 4\n    return hub() + named\n")
+    p = Project(spark, str(root), str(tmp_path / "store"))
+    p.index_project()
+    # names in a file that does not import them are low, and the hub that nobody imports is unused
+    verdicts = {(r["path"], r["name"]): (r["verdict"], r["high"], r["low"]) for r in p.find_deadcode().collect()}
+    assert verdicts[("core.py", "hub")] == ("KEEP", 2, 1) and verdicts[("other.py", "hub")] == ("LIKELY_UNUSED", 0, 3)
+    assert verdicts[("core.py", "lonely")] == ("LIKELY_UNUSED", 0, 0) and verdicts[("core.py", "named")] == ("LIKELY_UNUSED", 0, 2)
+    assert p.status()["refs"] == 0 and p.call_hierarchy("hub", build_edges=False).collect() == []
+    assert [(r["name"], r["direction"]) for r in p.call_hierarchy("hub").collect()] == [("caller", "up")]
+    assert p.status()["refs"] == 2 and p.call_hierarchy("hub", def_path="other.py").collect() == [] and p.status()["refs"] == 2
+    q = Project(spark, str(root), str(tmp_path / "store2"))
+    q.index_project()
+    assert [(r["name"], r["bucket"]) for r in q.impact("hub").collect()] == [("caller", "prod")]
+    assert q.impact("nothing").collect() == []
