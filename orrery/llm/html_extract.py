@@ -8,7 +8,8 @@ uses those whose tokens it holds in the class's order. Nested into each other by
 between them is in the slots.
 
 What is kept. Elements of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (by
-tag and by words of class, id and role) are no slots. If the page has articles or a main element, the slots in them are the
+tag and by words of class, id and role) are no slots; a word that is but a part of an element's names does not count against more
+than half of the page's text, nor any word against the only articles. If the page has articles or a main element, the slots in them are the
 text: there only text runs of firm classes (``FIRM_SUPPORT`` of ``FIRM_PAGES`` pages or more, most of them different pages)
 count as template, since passages that some pages quote are text. Otherwise all text runs of the template go, and of the
 other slots those in the element with most text stay. A page that holds nothing but template keeps its text.
@@ -45,7 +46,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,16 +63,28 @@ NO_TEXT_WORDS = frozenset(
     " footer header masthead comment comments commentlist reply replies respond disqus discussion cookie cookies consent gdpr notice notices alert notification notifications popup modal overlay"
     " newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager search toolbar skip copyright legal disclaimer widget form complementary contentinfo".split()
 )
+#: Those of reader comments: their part of the text does not matter.
+READER_WORDS = frozenset("comment comments commentlist reply replies respond disqus discussion".split())
+_NAMING = frozenset(("class", "id", "role", "itemprop", "aria-label"))
 ARTICLE_WORDS = frozenset({"articlebody"})
 
 
 @dataclass
 class Node:
+    """An element. ``hard``: by its tag or as hidden no text; ``named``: by words, 1 if they are but a part of its names, 2 if they name it."""
+
     tag: str
     path: str
-    skip: bool
-    article: int
-    main: bool
+    parent: int
+    hard: bool = False
+    named: int = 0
+    opens: bool = False
+    is_main: bool = False
+    framed: bool = False
+    holds: bool = False
+    skip: bool = False
+    article: int = -1
+    main: bool = False
     chars: int = 0
     link_chars: int = 0
     number: int = 0
@@ -90,25 +103,33 @@ def _hash(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def _words(attrs: str) -> tuple[set[str], str]:
-    words, sign = set(), ""
+def _words(attrs: str) -> tuple[set[str], str, bool, int]:
+    """Words of the names, the path's mark, whether the element is hidden, and its ``named``."""
+    words, sign, hidden, whole = set(), "", False, False
     for m in _ATTRIBUTE.finditer(attrs):
-        value = m[2] or m[3] or m[4] or ""
         name = m[1].lower()
         if name == "hidden":
-            words.add("hidden")
+            hidden = True
+        if name not in _NAMING:
             continue
+        value = m[2] or m[3] or m[4] or ""
         words.update(w.lower() for w in _WORD.findall(value))
         if name in ("role", "itemprop"):
             words.add(f"{name}:{value.strip().lower()}")
         if name in ("class", "id"):
             sign += f".{value.strip()}"
-    return words, sign
+        tokens = value.lower().split()
+        if name == "class":
+            hidden = hidden or "hidden" in tokens
+        if name in ("class", "id", "role") and tokens:
+            whole = whole or all(t in NO_TEXT_WORDS for t in tokens)
+    named = (2 if whole or words & READER_WORDS else 1) if words & NO_TEXT_WORDS else 0
+    return words, sign, hidden, named
 
 
 def parse(html: str) -> Page:
     page, block = Page(), 0
-    root = Node("", "", False, -1, False)
+    root = Node("", "", 0)
     page.nodes.append(root)
     stack = [root]
 
@@ -162,20 +183,16 @@ def parse(html: str) -> Page:
                 break
         if name == "body":
             close(next((i for i, n in enumerate(stack) if n.tag == "head"), len(stack)))
-        words, sign = _words(m["attrs"] or "")
+        words, sign, hidden, named = _words(m["attrs"] or "")
         above = stack[-1]
         path = f"{above.path}/{name}{sign}"
         page.tokens.append(_hash(path))
         if name in VOID or (m["attrs"] or "").endswith("/"):
             continue
-        opens = name == "article" or bool(words & ARTICLE_WORDS)
-        is_main = name == "main" or "role:main" in words
-        bad = name in NO_TEXT_TAGS or (name == "header" and above.article < 0 and not above.main) or "hidden" in words
-        if name not in ("html", "body", "main") and words & NO_TEXT_WORDS:
-            bad = True
-        node = Node(name, path, above.skip or bad, above.article, above.main or is_main, number=len(page.nodes))
-        if opens and not node.skip and above.article < 0:
-            node.article = node.number
+        whole = name in ("html", "body", "main")
+        node = Node(name, path, above.number, name in NO_TEXT_TAGS or (hidden and not whole), 0 if whole else named, number=len(page.nodes))
+        node.opens = name == "article" or bool(words & ARTICLE_WORDS)
+        node.is_main = name == "main" or "role:main" in words
         page.nodes.append(node)
         stack.append(node)
     if at < len(html):
@@ -183,9 +200,49 @@ def parse(html: str) -> Page:
     return page
 
 
+def settle(page: Page) -> None:
+    """Sets ``skip``, ``article`` and ``main`` of all nodes, when all of the page is known.
+
+    Words skip no element that they name only in part and that has more than half of the text, or the only articles; where all
+    articles are in elements that words name, those are not skipped either.
+    """
+    nodes = page.nodes
+    for n in nodes[1:]:
+        up = nodes[n.parent]
+        n.hard = up.hard or n.hard or (n.tag == "header" and not up.framed)
+        n.framed = up.framed or n.opens or n.is_main
+    for _, value, token, path, *_ in page.runs:
+        if token is not None and not nodes[path[-1]].hard:
+            for i in path:
+                nodes[i].chars += len(value)
+    for n in reversed(nodes[1:]):
+        if n.holds or ((n.opens or n.is_main) and n.chars and not n.hard and not n.named):
+            nodes[n.parent].holds = True
+
+    def marked() -> bool:
+        clean = False
+        for n in nodes[1:]:
+            n.skip = nodes[n.parent].skip or n.hard or n.named > 0
+            clean = clean or ((n.opens or n.is_main) and not n.skip and n.chars > 0)
+        return clean
+
+    clean = marked()
+    for level in (1, 2):
+        kept = [n for n in nodes if n.named == level and not n.hard and ((not clean and n.holds) or (level == 1 and n.chars * 2 > nodes[0].chars))]
+        for n in kept:
+            n.named = 0
+        if kept:
+            clean = marked()
+    for n in nodes[1:]:
+        up = nodes[n.parent]
+        n.article = n.number if n.opens and not n.skip and up.article < 0 else up.article
+        n.main = up.main or n.is_main
+
+
 def main_text(page: Page, template: list[tuple[bool, list[int]]]) -> str:
     """The text of the slots that are kept; ``template`` has for each class whether it is firm, and its tokens in order."""
     nodes = page.nodes
+    settle(page)
     firm = nested(page, [tokens for sure, tokens in template if sure])
     runs = [r for r in page.runs if not nodes[r[3][-1]].skip]
     inside = [r for r in runs if nodes[r[3][-1]].article >= 0]
@@ -195,6 +252,8 @@ def main_text(page: Page, template: list[tuple[bool, list[int]]]) -> str:
         slots = [r for r in inside if r[2] is None or r[2] not in firm]
         inside = slots if any(r[2] is not None for r in slots) else inside
     else:
+        for n in nodes:
+            n.chars = 0
         fixed = nested(page, [tokens for _, tokens in template])
         slots = [r for r in runs if r[2] is None or r[2] not in fixed]
         slots = slots if any(r[2] is not None for r in slots) else runs

@@ -559,6 +559,26 @@ def test_pages_with_and_without_articles():
     assert html_extract.main_text(html_extract.parse("<<<>>> <p"), []) is not None
 
 
+def test_names_that_skip_no_text():
+    text = "<article><p>The text of the page.</p></article>"
+    flat = "<p>A long paragraph of the page, with most of its text.</p>"
+    cases = [
+        (f"<div style='overflow:hidden'>{text}</div>", "The text of the page."),
+        (f"<div aria-hidden='false' data-hidden=1>{text}</div>", "The text of the page."),
+        (f"<div class='overflow-hidden'>{text}</div>", "The text of the page."),
+        (f"<div class='layout has-sidebar'><div class='sidebar'>side</div>{text}</div>", "The text of the page."),
+        (f"<div class='header-fixed'>{flat}</div>", "A long paragraph of the page, with most of its text."),
+        (f"<div class='sidebar'>{text}</div>", "The text of the page."),
+        # names and marks that do count
+        (f"<div hidden><p>not shown</p></div><div class='x hidden'>nor this</div>{text}", "The text of the page."),
+        (f"{text}<div class='comments'><article><p>A reader's comment, longer than all of the text above it.</p></article></div>", "The text of the page."),
+        (f"<div>{flat}</div><div class='comment-list'><p>A reader's comment, longer than all of the text above it, and by far, since it goes on.</p></div>", "A long paragraph of the page, with most of its text."),
+    ]
+    for body, want in cases:
+        assert html_extract.main_text(html_extract.parse(page("t", body, 1)), []) == want, body
+    assert html_extract.main_text(html_extract.parse(f"<body hidden class='sidebar-open'>{flat}</body>"), []) == "A long paragraph of the page, with most of its text."
+
+
 def test_templates_across_pages(spark):
     rnd = random.Random(6)
     rows = []
