@@ -11,8 +11,8 @@ What is kept. Elements of menus, headers, footers, sidebars, notices, adverts, f
 tag and by words of class, id and role) are no slots; a word that is but a part of an element's names does not count against more
 than half of the page's text, nor any word against the only articles. If the page has articles or a main element, the slots in them are the
 text: there only text runs of firm classes (``FIRM_SUPPORT`` of ``FIRM_PAGES`` pages or more, most of them different pages)
-count as template, since passages that some pages quote are text. Otherwise all text runs of the template go, and of the
-other slots those in the element with most text stay. A page that holds nothing but template keeps its text.
+count as template, since passages that some pages quote are text. Otherwise all text runs of the template go, and
+all other slots stay. A page that holds nothing but template keeps its text.
 
 Defined results. A null html counts as empty and gives an empty text; a null url is the host "". Broken markup (unclosed and
 stray tags, missing ends) is read as far as it goes. Pages of rare hosts have no template and go by their elements alone.
@@ -86,13 +86,12 @@ class Node:
     article: int = -1
     main: bool = False
     chars: int = 0
-    link_chars: int = 0
     number: int = 0
 
 
 @dataclass
 class Page:
-    """``runs``: (block, text, token, node numbers from the root, in an anchor); ``tokens``: all tokens in order."""
+    """``runs``: (block, text, token, node numbers from the root); ``tokens``: all tokens in order."""
 
     runs: list = field(default_factory=list)
     tokens: list = field(default_factory=list)
@@ -139,9 +138,9 @@ def parse(html: str) -> Page:
         if value.strip():
             token = _hash(f"{top.path}#{' '.join(value.split())}")
             page.tokens.append(token)
-            page.runs.append((block, value, token, [n.number for n in stack], any(n.tag == "a" for n in stack)))
+            page.runs.append((block, value, token, [n.number for n in stack]))
         elif value:
-            page.runs.append((block, " ", None, [n.number for n in stack], False))
+            page.runs.append((block, " ", None, [n.number for n in stack]))
 
     def close(upto: int) -> None:
         del stack[upto:]
@@ -211,7 +210,7 @@ def settle(page: Page) -> None:
         up = nodes[n.parent]
         n.hard = up.hard or n.hard or (n.tag == "header" and not up.framed)
         n.framed = up.framed or n.opens or n.is_main
-    for _, value, token, path, *_ in page.runs:
+    for _, value, token, path in page.runs:
         if token is not None and not nodes[path[-1]].hard:
             for i in path:
                 nodes[i].chars += len(value)
@@ -252,20 +251,9 @@ def main_text(page: Page, template: list[tuple[bool, list[int]]]) -> str:
         slots = [r for r in inside if r[2] is None or r[2] not in firm]
         inside = slots if any(r[2] is not None for r in slots) else inside
     else:
-        for n in nodes:
-            n.chars = 0
         fixed = nested(page, [tokens for _, tokens in template])
         slots = [r for r in runs if r[2] is None or r[2] not in fixed]
-        slots = slots if any(r[2] is not None for r in slots) else runs
-        for _, value, token, path, in_link in slots:
-            if token is not None:
-                # the block-level element that holds the paragraph: paragraphs of one text are siblings
-                blocks = [i for i in path if nodes[i].tag not in INLINE]
-                for i in blocks[-2:]:
-                    nodes[i].chars += len(value)
-                    nodes[i].link_chars += len(value) * in_link
-        best = max(nodes, key=lambda n: (n.chars - 2 * n.link_chars, -n.number))
-        inside = [r for r in slots if best.number in r[3]]
+        inside = slots if any(r[2] is not None for r in slots) else runs
     out, last, words = [], None, []
     for number, value, *_ in inside:
         if number != last and words:

@@ -579,6 +579,12 @@ def test_names_that_skip_no_text():
     assert html_extract.main_text(html_extract.parse(f"<body hidden class='sidebar-open'>{flat}</body>"), []) == "A long paragraph of the page, with most of its text."
 
 
+def test_all_slots_of_a_page_without_article():
+    body = "<h1>The heading</h1><div><section><p>Of two sections the shorter.</p></section><section><p>And the longer one, with a <a href='/x'>link of some words</a> in it.</p></section></div>"
+    want = "The heading Of two sections the shorter. And the longer one, with a link of some words in it."
+    assert html_extract.main_text(html_extract.parse(page("t", body, 1)), []) == want
+
+
 def test_templates_across_pages(spark):
     rnd = random.Random(6)
     rows = []
