@@ -9,7 +9,7 @@ The benchmark is the stated query set: it is cut into blocks of ``BLOCK_BYTES``
 and all documents pass by it, so nothing unbounded is broadcast and the documents are never shuffled.
 
 Defined results. Tokens are runs of letters and digits, lower-cased. Null and empty texts have none. An item of fewer
-than ``SPAN`` tokens has no seed and matches nothing: a few common words prove nothing. Repeated items and repeated
+than ``SPAN`` tokens has no seed: it is hashed whole and overlaps where all of its tokens follow each other. Repeated items and repeated
 documents are each reported; null ids are kept as null. Empty tables give an empty result. Whole texts are read.
 """
 
@@ -47,9 +47,9 @@ def tokens(text: str | None) -> list[str]:
     return _words((text or "").lower())
 
 
-def masked_hashes(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def masked_hashes(ids: np.ndarray, offsets: np.ndarray, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
     """Window starts all of whose counted tokens are known (not 0), and the hashes there."""
-    n = len(ids) - SPAN + 1
+    n = len(ids) - span + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     known = ids != 0
@@ -66,15 +66,18 @@ def masked_hashes(ids: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class Items:
-    """A block of benchmark items: token numbers, and the seeds of each mask sorted by hash."""
+    """A block of benchmark items: token numbers, and the seeds of each mask, and of each length below the span, sorted by hash."""
 
     def __init__(self, texts: list[str | None]):
         self.numbers: dict[str, int] = {}
         lists = [[self.numbers.setdefault(w, len(self.numbers) + 1) for w in tokens(t)] for t in texts]
         self.tokens = [np.array(x, np.int32) for x in lists]
         self.seeds = []
-        for offsets in _OFFSETS:
-            found = [(h, np.full(len(s), i, np.int32), s.astype(np.int32)) for i, x in enumerate(self.tokens) for s, h in [masked_hashes(x, offsets)]]
+        short = sorted({len(x) for x in self.tokens if 0 < len(x) < SPAN})
+        self.masks = [(offsets, SPAN) for offsets in _OFFSETS] + [(np.arange(n), n) for n in short]
+        for offsets, span in self.masks:
+            own = [(i, x) for i, x in enumerate(self.tokens) if span == SPAN or len(x) == span]
+            found = [(h, np.full(len(s), i, np.int32), s.astype(np.int32)) for i, x in own for s, h in [masked_hashes(x, offsets, span)]]
             h, i, s = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.uint64)]) for k in range(3))
             order = np.argsort(h, kind="stable")
             self.seeds.append((h[order], i[order], s[order]))
@@ -82,8 +85,8 @@ class Items:
     def candidates(self, ids: np.ndarray) -> np.ndarray:
         """Distinct (item, diagonal) of all hits; a diagonal is the document's position of the item's first token."""
         found = []
-        for offsets, (hashes, items, starts) in zip(_OFFSETS, self.seeds, strict=True):
-            at, h = masked_hashes(ids, offsets)
+        for (offsets, span), (hashes, items, starts) in zip(self.masks, self.seeds, strict=True):
+            at, h = masked_hashes(ids, offsets, span)
             low = np.searchsorted(hashes, h)
             high = np.searchsorted(hashes, h, side="right")
             hit = np.flatnonzero(high > low)

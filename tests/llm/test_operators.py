@@ -537,6 +537,20 @@ def test_overlaps_tolerate_substitutions(spark):
     assert decontamination.without_leaks(a, b.limit(0)).count() == len(docs)
 
 
+def test_items_shorter_than_the_span(spark):
+    rnd = random.Random(21)
+    items = [(n, words(rnd, n)) for n in range(3, 12)] + [(50, ""), (51, None), (52, items_copy := words(rnd, 6)), (53, items_copy)]
+    docs = [(i, f"{words(rnd, 30)} {t.upper()}, {words(rnd, 30)}") for i, t in items if t]
+    # all but one of its tokens, the tokens apart, and the item over the end of one text and the start of the next
+    docs += [(100, words(rnd, 20) + " " + items[4][1].rsplit(" ", 1)[0]), (101, items[4][1].replace(" ", " between ")), (102, items[2][1].split(" ", 1)[0]), (103, items[2][1].split(" ", 1)[1]), (104, items[0][1])]
+    truth = {(d, i) for d, t in docs for i, x in items if x and f" {x} " in " " + " ".join(re.findall(r"[a-z]+", t.lower())) + " "}
+    a = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = collect(decontamination.overlaps(a, b))
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == truth and len(truth) == 14 and all(r["n_equal"] == r["n_tokens"] for r in rows)
+    assert {r["doc_id"] for r in collect(decontamination.without_leaks(a, b))} == {100, 101, 102, 103}
+
+
 # pages
 
 
