@@ -50,7 +50,7 @@ PATTERNS = (
 )
 ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: What any entity holds: a cheap test before the alternation.
-HINT = rf"[0-9@]|{_TITLES}|[A-Fa-f]{{32}}|ghp_|gho_|github_pat_|sk-|xox"
+HINT = rf"[0-9@]|{_TITLES}|[A-Fa-f]{{32}}|ghp_|gho_|github_pat_|sk-|xox|AKIA|ASIA"
 
 #: Syllables of invented names and endings of (script, gender).
 _SYLLABLES = {
