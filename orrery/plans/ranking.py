@@ -81,11 +81,18 @@ SELECT id, round(s, 8) AS score FROM r{_MAP_ROUNDS} ORDER BY round(s, 8) DESC, i
 
 @query(_MAP_SQL)
 def map_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most important symbols of one source within a token budget."""
+    """The most important symbols of one source within a token budget, after a fixed number of rounds as in its SQL; ``map_whole`` has no cut."""
     docs = table(spark, sf_dir, "documents").filter("source = 'src0'")
     return symbol_map(corpus.symbols(docs), corpus.name_edges(docs), rounds=_MAP_ROUNDS, tolerance=None)
 
 
+@query()
+def map_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all documents, to the default tolerance: as many rounds as that takes are too slow in SQL."""
+    docs = table(spark, sf_dir, "documents")
+    return symbol_map(corpus.symbols(docs), corpus.name_edges(docs))
+
+
 def symbol_map(symbols: DataFrame, refs: DataFrame, *, budget: int = DEFAULTS.token_budget, rounds: int = DEFAULTS.max_rounds, tolerance: float | None = DEFAULTS.tolerance, focus_names=(), focus_files=()) -> DataFrame:
     """``id`` and ``score`` of the top symbols: node edges, PageRank, and a limit from the token budget."""
     key = lambda path, line, kind: F.concat_ws(":", path, F.col(line).cast("string"), kind)

@@ -144,3 +144,58 @@ def test_impact_buckets(spark):
     rows = spark.createDataFrame([("t", "tests/test_a.py", 1, 1, "high"), ("p", "pkg/pages/x.py", 1, 1, "high"), ("q", "src/q.py", 1, 2, "high"), ("u", "src/u.py", 1, 1, "low")], "name string, path string, line int, depth int, confidence string")
     s = graph.impact_summary(graph.impact(rows, rows.filter("name = 'q'"), entry=F.col("path").contains("/pages/"))).first()
     assert (s["direct"], s["transitive"], s["test"], s["entrypoint"], s["prod"], s["uncertain"], s["important"], s["files"]) == (2, 1, 1, 1, 1, 1, 1, 3)
+
+
+def map_by_hand(docs):
+    """Scores of all symbols and the rounds that the tolerance took, in plain Python."""
+    symbols, toks = [], []
+    for doc_id, source, text in docs:
+        path, lines = f"{source}/{doc_id}", text.split("\n")
+        toks += [(path, i, t, lines[i - 1].split().count(t)) for i in range(1, len(lines) + 1) for t in set(lines[i - 1].split())]
+        symbols += [(path, "module", lines[0].split()[0], 1, len(lines))] + [(path, "block", lines[k].split()[0], k + 1, min(k + 5, len(lines))) for k in range(0, len(lines), 5)]
+    defs, last, weight = {}, {}, {}
+    for s in symbols:
+        defs.setdefault(s[2], []).append(s)
+        last[s[0], s[3]] = max(last.get((s[0], s[3]), ((0, "", ""), ""))[0], (s[4], s[1], s[2])), s[2]
+    edges = {}
+    for path, line, name, n in toks:
+        for place in {(d[0], d[3]) for d in defs.get(name, []) if len(defs[name]) <= 20 and not (d[0] == path and d[3] <= line <= d[4])}:
+            edges[path, line, *place] = edges.get((path, line, *place), 0) + n
+    for (path, line, dpath, dline), n in edges.items():
+        (_, kind, name), _ = last[dpath, dline]
+        _, _, k, at = max((s[3], s[4], s[1], s[3]) for s in symbols if s[0] == path and s[3] <= line <= s[4])
+        src, dst = f"{path}:{at}:{k}", f"{dpath}:{dline}:{kind}"
+        files = len({d[0] for d in defs[name]})
+        q = (0.1 if name[0] == "_" else 10.0 if len(name) >= 8 and "_" in name else 1.0) * (0.1 if files > 5 else 1.0)
+        if src != dst:
+            weight[src, dst] = weight.get((src, dst), 0) + 0.25 * n * q
+    ids = [f"{s[0]}:{s[3]}:{s[1]}" for s in symbols]
+    out = {}
+    for (src, _), w in weight.items():
+        out[src] = out.get(src, 0) + w
+    score = dict.fromkeys(ids, 1 / len(ids))
+    for rounds in range(1, 101):
+        mass = sum(v for i, v in score.items() if i not in out)
+        new = {i: (0.15 + 0.85 * mass) / len(ids) for i in ids}
+        for (src, dst), w in weight.items():
+            new[dst] += 0.85 * score[src] * w / out[src]
+        moved, score = sum(abs(new[i] - score[i]) for i in ids), new
+        if moved < 1e-6:
+            break
+    return score, rounds
+
+
+def test_map_of_all_sources(spark, tmp_path):
+    import random
+
+    from orrery.plans.ranking import map_whole
+
+    rnd = random.Random(4)
+    names = [f"n{i}" for i in range(30)] + ["_own", "well_named", "other_name", "src"]
+    docs = [(i, f"src{i % 4}", "\n".join(" ".join(rnd.choice(names) for _ in range(rnd.randrange(1, 5))) for _ in range(rnd.randrange(1, 14)))) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want, rounds = map_by_hand(docs)
+    got = {r["id"]: r["score"] for r in map_whole(spark, str(tmp_path)).collect()}
+    assert 5 < rounds < 100 and len(got) == min(len(want), 166) and {i.split("/")[0] for i in got} == {"src0", "src1", "src2", "src3"}
+    assert all(abs(want[i] - v) < 2e-8 for i, v in got.items())
+    assert min(got.values()) >= sorted(want.values(), reverse=True)[len(got) - 1] - 2e-8
