@@ -1,11 +1,17 @@
-"""A budget of rows dealt over sections by priority."""
+"""A budget of rows dealt over sections: floors first, then a highest-averages apportionment.
+
+The k-th row that a section claims beyond its floor has the price k / (priority * rows it lacks). The cheapest claims are met
+until the budget is used up, so equal priorities lose equal shares of what they lack, and doubling a priority doubles a
+section's pace. No claim depends on another one: the whole deal is one ordering of claims with a limit.
+"""
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .edges import positions
@@ -20,39 +26,50 @@ class Section:
 
 
 def allocate(sections: Sequence[Section], budget: int, *, full: bool = False) -> dict[str, int]:
-    """Rows shown of each section: all if they fit; else each one's floor, then shares of what remains by priority times hunger.
-
-    A floor may exceed the budget. In a round, sections are served from high priority to low; each takes its rounded
-    share of what then remains, at least one row.
-    """
-    if full or sum(s.size for s in sections) <= max(0, budget):
+    """Rows shown of each section, for a few sections at hand; ``allotted`` is the same over a table of them."""
+    if full:
         return {s.name: s.size for s in sections}
-    shown = {s.name: min(s.min_keep, s.size) for s in sections}
-    rest = budget - sum(shown.values())
-    by_rank = sorted(sections, key=lambda s: -s.priority)
-    while rest > 0:
-        missing = {s.name: s.size - shown[s.name] for s in by_rank if s.size > shown[s.name]}
-        if not missing:
-            break
-        weight = sum(s.priority * missing[s.name] for s in by_rank if s.name in missing) or 1
-        before = rest
-        for s in by_rank:
-            if s.name in missing and rest > 0:
-                gets = min(max(1, round(rest * s.priority * missing[s.name] / weight)), missing[s.name], rest)
-                shown[s.name] += gets
-                rest -= gets
-        if rest == before:
-            break
+    floors = [min(s.min_keep, s.size) for s in sections]
+    shown = {s.name: f for s, f in zip(sections, floors, strict=True)}
+    claims = (
+        (k / (s.priority * (s.size - f)) if s.priority > 0 else float("inf"), -s.priority, s.name, k)
+        for s, f in zip(sections, floors, strict=True)
+        for k in range(1, min(s.size - f, max(0, budget)) + 1)
+    )
+    for *_, name, _ in heapq.nsmallest(max(0, budget - sum(floors)), claims):
+        shown[name] += 1
     return shown
 
 
-def take_sections(spark: SparkSession, rows: DataFrame, by: str, order: list[str], shown: dict[str, int]) -> DataFrame:
-    """The first allotted rows of each section, with its number of elided rows; ``shown`` has one entry a section."""
-    table = spark.createDataFrame([(k, v) for k, v in shown.items()], f"`{by}` string, _shown long")
-    from pyspark.sql import Window
+def allotted(sections: DataFrame, budget: int, *, full: bool = False) -> DataFrame:
+    """``sections`` (``name``, ``size``, ``priority``, ``min_keep``) with ``shown`` and ``elided``.
+
+    Defined results. Null priorities count 1, null floors 0, null sizes no rows. A floor may exceed the budget. An empty table gives
+    an empty one. A section makes ``budget`` claims at most, and only the cheapest ``budget`` of all are ever kept together.
+    """
+    clean = sections.select("name", F.coalesce("size", F.lit(0)).cast("long").alias("size"), F.coalesce("priority", F.lit(1)).cast("double").alias("priority"), F.coalesce("min_keep", F.lit(0)).cast("long").alias("min_keep"))
+    if full:
+        return clean.select("name", "size", F.col("size").alias("shown"), F.lit(0).cast("long").alias("elided"))
+    floor = F.greatest(F.lit(0), F.least("min_keep", "size"))
+    clean = clean.select("name", "size", "priority", floor.alias("floor"), (F.col("size") - floor).alias("lacks"))
+    rest = max(0, budget - (clean.agg(F.sum("floor")).first()[0] or 0))
+    price = F.when(F.col("priority") > 0, F.col("k") / (F.col("priority") * F.col("lacks"))).otherwise(F.lit(float("inf")))
+    claims = clean.filter("lacks > 0").select("name", "priority", "lacks", F.explode(F.sequence(F.lit(1).cast("long"), F.least("lacks", F.lit(max(1, budget)).cast("long")))).alias("k"))
+    met = claims.orderBy(price, F.desc("priority"), "name", "k").limit(rest).groupBy("name").agg(F.count(F.lit(1)).alias("more"))
+    out = clean.join(met, "name", "left").withColumn("shown", F.col("floor") + F.coalesce("more", F.lit(0)))
+    return out.select("name", "size", "shown", (F.col("size") - F.col("shown")).alias("elided"))
+
 
-    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.join(F.broadcast(table), by).filter("_rank <= _shown").drop("_rank", "_shown")
+def take_sections(rows: DataFrame, by: str, order: list[str], shown: DataFrame) -> DataFrame:
+    """The first allotted rows of each section; ``shown`` is a result of ``allotted``.
+
+    Sections that show nothing are dropped before the ranking; a rank limit beside the window lets the planner keep only
+    the first rows of a section in each task.
+    """
+    table = shown.filter("shown > 0").select(F.col("name").alias("_name"), F.col("shown").alias("_shown"))
+    most = table.agg(F.max("_shown")).first()[0] or 0
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("_rank") <= most)
+    return ranked.join(table, F.col(by) == F.col("_name")).filter("_rank <= _shown").drop("_name", "_rank", "_shown")
 
 
-__all__ = ["Section", "allocate", "positions", "take_sections"]
+__all__ = ["Section", "allocate", "allotted", "positions", "take_sections"]

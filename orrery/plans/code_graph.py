@@ -33,17 +33,21 @@ def symbol_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH now AS (SELECT source || '/' || doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 13 <> 0),
- before AS (SELECT source || '/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS h FROM documents WHERE doc_id % 17 <> 0)
+    """WITH now AS (SELECT source || '/' || doc_id AS path, sha256(text) AS h FROM documents),
+ before AS (SELECT source || '/' || doc_id AS path, CASE WHEN quality = 1 THEN sha256(text) ELSE sha256(text || 'x') END AS h FROM documents JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)
+  UNION ALL SELECT 'page/' || page_id, sha256(html) FROM pages)
 SELECT coalesce(now.path, before.path) AS path, CASE WHEN now.h IS NULL THEN 'removed' WHEN before.h IS NULL THEN 'new' WHEN before.h <> now.h THEN 'changed' ELSE 'same' END AS status
 FROM now FULL JOIN before ON now.path = before.path"""
 )
 def hash_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files against an older state in which some are altered, some missing and some since removed."""
+    """All documents against an older state: the labelled ones (altered where of low quality), and the pages, since removed."""
     path = F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path")
     d = _docs(spark, sf_dir)
-    old = d.filter("doc_id % 17 <> 0").select(path, F.sha2(F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("content_hash"))
-    return tables.hash_diff(d.filter("doc_id % 13 <> 0").select(path, F.sha2("text", 256).alias("content_hash")), old)
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    text = F.when(F.col("quality") == 1, F.col("text")).otherwise(F.concat("text", F.lit("x")))
+    old = d.join(labels, "doc_id").select(path, F.sha2(text, 256).alias("content_hash"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), F.sha2("html", 256).alias("content_hash"))
+    return tables.hash_diff(d.select(path, F.sha2("text", 256).alias("content_hash")), old.unionByName(pages))
 
 
 @query(with_views("tokens") + " SELECT name, sum(mult)::BIGINT AS occurrences, count(*) AS lines FROM tokens GROUP BY name")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import retention, sections, tables
 from ..sources import corpus
-from ..sources.corpus import table
+from ..sources.corpus import table, with_views
 from ..streaming.changes import debounced
 from .catalog import query
 
@@ -42,10 +42,22 @@ def latest_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], ["event_type", "value", "event_id"])
 
 
-@query()
+_ROWS = 40
+
+
+@query(
+    with_views("symbols")
+    + f""", f AS (SELECT *, split_part(path, '/', 1) AS source FROM symbols WHERE kind = 'module'),
+ c AS (SELECT source, size, 1.0::DOUBLE + size % 3 AS priority, size - 1 AS lacks FROM (SELECT source, count(*) AS size FROM f GROUP BY 1)),
+ claims AS (SELECT source, priority, unnest(range(1, least(lacks, {_ROWS}) + 1)) AS k, lacks FROM c),
+ met AS (SELECT source, row_number() OVER (ORDER BY k / (priority * lacks), priority DESC, source, k) AS place FROM claims),
+ got AS (SELECT source, 1 + count(met.place) AS shown FROM c LEFT JOIN met USING (source) WHERE met.place IS NULL OR met.place <= {_ROWS} - (SELECT count(*) FROM c) GROUP BY 1),
+ ranked AS (SELECT source, path, name, row_number() OVER (PARTITION BY source ORDER BY path) AS place FROM f)
+SELECT ranked.source, path, name FROM ranked LEFT JOIN got USING (source) WHERE place <= coalesce(shown, 1)"""
+)
 def budget_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty rows dealt over sources by priority; the section counts (one row a source) decide on the driver."""
+    """Forty rows dealt over sources by priority, one row of each at least."""
     s = corpus.symbols(table(spark, sf_dir, "documents")).filter("kind = 'module'").withColumn("source", F.substring_index("path", "/", 1))
-    sizes = {r["source"]: r["n"] for r in s.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
-    shown = sections.allocate([sections.Section(k, n, priority=1 + i % 3, min_keep=1) for i, (k, n) in enumerate(sorted(sizes.items()))], 40)
-    return sections.take_sections(spark, s.select("source", "path", "name"), "source", ["path"], shown)
+    sizes = s.groupBy(F.col("source").alias("name")).agg(F.count(F.lit(1)).alias("size"))
+    shown = sections.allotted(sizes.withColumns({"priority": F.lit(1) + F.col("size") % 3, "min_keep": F.lit(1)}), _ROWS)
+    return sections.take_sections(s.select("source", "path", "name"), "source", ["path"], shown)

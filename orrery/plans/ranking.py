@@ -59,7 +59,7 @@ def pagerank_focus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MAP_ROUNDS = 5
 _MAP_SQL = (
-    with_views("name_edges").replace("FROM documents)", "FROM documents WHERE source = 'src0')")
+    with_views("name_edges")
     + f""", ne AS (SELECT src_path, src_line, def_path, def_line, sum(greatest(multiplicity, 1)) AS mult FROM name_edges GROUP BY 1, 2, 3, 4),
  tgt AS (SELECT path, line, max((end_line, kind, name)) AS t FROM symbols GROUP BY 1, 2),
  files AS (SELECT name, count(DISTINCT path) AS files FROM symbols GROUP BY name),
@@ -81,14 +81,14 @@ SELECT id, round(s, 8) AS score FROM r{_MAP_ROUNDS} ORDER BY round(s, 8) DESC, i
 
 @query(_MAP_SQL)
 def map_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most important symbols of one source within a token budget, after a fixed number of rounds as in its SQL; ``map_whole`` has no cut."""
-    docs = table(spark, sf_dir, "documents").filter("source = 'src0'")
+    """The most important symbols of all documents within a token budget, after a fixed number of rounds as in its SQL; ``map_whole`` goes on to the tolerance."""
+    docs = table(spark, sf_dir, "documents")
     return symbol_map(corpus.symbols(docs), corpus.name_edges(docs), rounds=_MAP_ROUNDS, tolerance=None)
 
 
 @query()
 def map_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same over all documents, to the default tolerance: as many rounds as that takes are too slow in SQL."""
+    """The same to the default tolerance: as many rounds as that takes are too slow in SQL."""
     docs = table(spark, sf_dir, "documents")
     return symbol_map(corpus.symbols(docs), corpus.name_edges(docs))
 

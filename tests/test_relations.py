@@ -131,6 +131,39 @@ def test_sections():
     assert sections.allocate([part("a", 9)], 2, full=True) == {"a": 9}
 
 
+def test_sections_keep_a_low_priority_floor_and_deal_the_whole_budget():
+    part = sections.Section
+    got = sections.allocate([part("hi", 50, 10), part("crit", 10, 1, 3)], 10)
+    assert got["crit"] >= 3 and sum(got.values()) == 10
+    assert sections.allocate([part("a", 0), part("b", 10)], 3) == {"a": 0, "b": 3}
+    even = sections.allocate([part(x, 30) for x in "abc"], 31)
+    assert sum(even.values()) == 31 and max(even.values()) - min(even.values()) <= 1
+    # no claim that was met is dearer than one that was not
+    parts = [part("a", 17, 2, 1), part("b", 40, 1), part("c", 5, 7), part("d", 9, 0)]
+    for budget in range(1, 72):
+        got = sections.allocate(parts, budget)
+        assert sum(got.values()) == min(71, budget)
+        price = lambda s, k: k / (s.priority * (s.size - s.min_keep)) if s.priority else float("inf")
+        met = [price(s, k) for s in parts for k in range(1, got[s.name] - s.min_keep + 1)]
+        unmet = [price(s, k) for s in parts for k in range(got[s.name] - s.min_keep + 1, s.size - s.min_keep + 1)]
+        assert max(met, default=0) <= min(unmet, default=float("inf"))
+
+
+def test_sections_of_a_table(spark):
+    parts = [("a", 17, 2, 1), ("b", 40, 1, 0), ("c", 5, 7, 9), ("d", 9, 0, 0), ("e", 0, 3, 2), ("f", 4, None, None)]
+    df = spark.createDataFrame(parts, "name string, size int, priority int, min_keep int")
+    own = [sections.Section(n, s, 1 if p is None else p, m or 0) for n, s, p, m in parts]
+    for budget in (0, 3, 20, 70, 200):
+        got = {r["name"]: r["shown"] for r in sections.allotted(df, budget).collect()}
+        assert got == sections.allocate(own, budget)
+    assert all(r["shown"] == r["size"] and r["elided"] == 0 for r in sections.allotted(df, 2, full=True).collect())
+    assert sections.allotted(df.limit(0), 5).count() == 0
+    rows = spark.createDataFrame([(n, i) for n, s, *_ in parts for i in range(s)], "name string, at int")
+    kept = sections.take_sections(rows, "name", ["at"], sections.allotted(df, 20)).collect()
+    shown = sections.allocate(own, 20)
+    assert sorted((r["name"], r["at"]) for r in kept) == sorted((n, i) for n, k in shown.items() for i in range(k))
+
+
 def test_retention(spark):
     rows = spark.createDataFrame([("a", 1, 40), ("b", 2, 40), ("c", 3, 40)], "key string, last_access long, bytes long")
     got = {r["key"]: r["evict"] for r in retention.evictions(rows, 100, 0.9, bucket=F.floor(F.col("last_access") / 2)).collect()}
