@@ -8,20 +8,35 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: ``spark.checkpoint.dir`` of the session.
+    """This application's folder in ``spark.checkpoint.dir``, which every executor sees; it is deleted when the driver ends.
 
-    Only where the session names none (tests, a laptop) a temporary folder is made and set.
+    Only on a local master, where the session names none, a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        named = context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    return named.rstrip("/")
+    folder = f"{named.rstrip('/')}/orrery-llm-{context.applicationId}"
+    if folder not in _folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
+
+
+_folders: set[str] = set()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -35,6 +50,49 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be no column of ``df`` (case does not tell columns apart)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` stored with a number for each row, and the number's column.
+
+    Spark deals files to tasks by the cores it has just then, so a number made twice may differ. This one is made once, with
+    the row, and only read from then on.
+    """
+    (row,) = fresh(df, "row_number")
+    return stored(df.withColumn(row, F.monotonically_increasing_id()), "numbered"), row
+
+
+#: A group is hot if more than one row in so many is in it: so many hot groups at most.
+HOT_SHARE = 2000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``groups``, one row a key (null is a key), where ``size`` is a group's number of rows out of ``total``.
+
+    A hot group would be one task's load in a shuffle; there are ``HOT_SHARE`` such groups at most, so they are looked up by
+    broadcast, and only the rows of all others are shuffled.
+    """
+    hidden = fresh(rows.join(groups.select(size).limit(0), F.lit(False)), *("k" * (i + 2) for i in range(len(keys))))
+    named = groups.withColumnsRenamed(dict(zip(keys, hidden, strict=True)))
+    same = F.lit(True)
+    for key, other in zip(keys, hidden, strict=True):
+        same = same & F.col(key).eqNullSafe(F.col(other))
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot = F.broadcast(named.filter(is_hot))
+    cool = rows.join(hot.select(*hidden), same, "left_anti").join(named.filter(~is_hot), same)
+    return rows.join(hot, same).unionByName(cool).drop(*hidden)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that nothing will read again."""
     jvm = df.sparkSession._jvm

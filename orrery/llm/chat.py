@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import stored, table, with_group
 
 #: Turn numbers of a block: a window or a rendered part never holds more of them.
 BLOCK = 256
@@ -43,6 +43,7 @@ def numbered(turns: DataFrame) -> DataFrame:
         return sums.select("conv", "block", *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}0") for n in names))
 
     def with_earlier(rows: DataFrame, sums: DataFrame, names: list[str]) -> DataFrame:
+        # a block has BLOCK turn numbers, so no key of this join is hot but by turns of one number
         s = earlier(sums, names).withColumnsRenamed({"conv": "conv_", "block": "block_"})
         return rows.join(s, F.col("conv").eqNullSafe(F.col("conv_")) & (F.col("block") == F.col("block_"))).drop("conv_", "block_")
 
@@ -62,13 +63,14 @@ def numbered(turns: DataFrame) -> DataFrame:
 def collapse(turns: DataFrame) -> DataFrame:
     """The turns of the maximal conversations: ``conv``, ``place``, ``block``, ``role``, ``text`` and ``n_copies`` of the whole conversation."""
     rolled = stored(numbered(turns), "prefixes")
-    lengths = rolled.groupBy("conv").agg(F.max("place").alias("n_turns"))
-    slim = rolled.select("conv", "place", *LANES)
-    joined = slim.join(lengths.withColumnRenamed("conv", "conv_"), F.col("conv").eqNullSafe(F.col("conv_"))).drop("conv_")
+    # places are gapless: the last one is the number of turns
+    lengths = stored(rolled.groupBy("conv").agg(F.max("place").alias("n_turns")), "lengths")
+    total = lengths.agg(F.sum("n_turns")).first()[0] or 0
+    joined = with_group(rolled.select("conv", "place", *LANES), lengths, ["conv"], "n_turns", total)
     whole = joined.filter(F.col("place") == F.col("n_turns")).groupBy("place", *LANES).agg(F.min("conv").alias("conv"), F.count(F.lit(1)).alias("n_copies"))
     proper = joined.filter(F.col("place") < F.col("n_turns")).select("place", *LANES).distinct()
-    kept = whole.join(proper, ["place", *LANES], "left_anti").select(F.col("conv").alias("conv_"), "n_copies")
-    return rolled.join(kept, F.col("conv").eqNullSafe(F.col("conv_"))).select("conv", "place", "block", "role", "text", "n_copies")
+    kept = stored(whole.join(proper, ["place", *LANES], "left_anti").select("conv", F.col("place").alias("n_turns"), "n_copies"), "maximal")
+    return with_group(rolled, kept, ["conv"], "n_turns", total).select("conv", "place", "block", "role", "text", "n_copies")
 
 
 def render(turns: DataFrame) -> DataFrame:

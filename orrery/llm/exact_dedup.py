@@ -4,15 +4,14 @@ A normalised text is cut into blocks of ``BLOCK`` bytes. The distinct blocks are
 adjacent names are paired and the distinct pairs named in the same way, until each document has one name. Names are
 ranks in a sort, never hashes, so equal identities mean equal texts. Hashes only deal rows to tasks.
 
-Hot groups. Blocks that more than one in ``HOT_SHARE`` rows hold are at most ``HOT_SHARE`` many; they are found by a
-count with map-side combine, named apart and looked up by broadcast, so that no task gathers their rows. The tables
-of pairs have a few integers a row; there distinct pairs are named and joined back, and the adaptive planner splits a
-hot key. Copies are never expanded into pairs.
+Hot groups. Blocks that more than one in ``HOT_SHARE`` rows hold are at most ``HOT_SHARE`` many (4 MB of text); they are found
+by a count with map-side combine, named apart and looked up by broadcast, so that no task gathers their rows. Hot pairs of
+names and hot groups of copies are looked up in the same way. Copies are never expanded into pairs.
 
 Defined results. A null text counts as empty; all texts that are empty after normalisation are one group. Of rows that
 tie in code points the smallest id stays (a null id after all others). Rows repeated with the same id and text share the
-group; one of them stays, the one read first. Empty tables give empty results; further columns do not matter.
-The input must be read alike when a lost task is run again (a stored table is; see ``stored``).
+group; one of them stays. Empty tables give empty results; further columns, whatever their names, do not matter
+and stay as they are.
 """
 
 from __future__ import annotations
@@ -22,12 +21,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import stored, table
+from ._common import HOT_SHARE, numbered, stored, table, with_group
 
 #: Bytes of a block.
 BLOCK = 2048
-#: A block is hot if more than one row in so many holds it: so many hot blocks at most, 4 MB of text.
-HOT_SHARE = 2000
 #: No block is hot under so many rows.
 HOT_LEAST = 1000
 #: Rows of a naming task, about.
@@ -39,10 +36,10 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
-def _blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row`` (one number a row), ``pos``, ``last`` (blocks of the row less 1), ``block``; ``head`` has the row's own values where pos is 0."""
+def _blocks(df: DataFrame, id_col: str, text_col: str, row: Column) -> DataFrame:
+    """``row`` (one number a row, as given), ``pos``, ``last`` (blocks of the row less 1), ``block``; ``head`` has the row's own values where pos is 0."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
+    base = df.select(row.alias("row"), F.col(id_col).alias("id"), F.char_length(text).cast("long").alias("n_chars"), normalised(F.col(text_col)).alias("norm"))
     base = base.withColumn("head", F.struct("id", "n_chars", F.sha2("norm", 256).alias("sha"))).withColumn("bytes", F.encode("norm", "utf-8"))
     last = F.greatest(F.lit(0), F.ceil(F.octet_length("bytes") / BLOCK).cast("int") - 1)
     cut = base.select("row", "head", "bytes", last.alias("last"), F.explode(F.sequence(F.lit(0), last)).alias("pos"))
@@ -57,11 +54,10 @@ def name_blocks(rows: DataFrame) -> DataFrame:
     dense ranks, and (rank, task) is packed into one integer. Hot blocks have a task number of their own.
     """
     rows = rows.withColumn("tag", F.xxhash64("block"))
-    counts = rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    total, floor = rows.select(F.count(F.lit(1)).alias("total")), F.lit(HOT_LEAST)
-    n_rows = total.first()["total"]
+    counts = stored(rows.groupBy("tag").agg(F.count(F.lit(1)).alias("n")), "counts")
+    n_rows = counts.agg(F.sum("n")).first()[0] or 0
     tasks = max(1, math.ceil(n_rows / ROWS_A_TASK))
-    hot_tags = [r["tag"] for r in counts.filter((F.col("n") * HOT_SHARE > n_rows) & (F.col("n") > floor)).select("tag").limit(HOT_SHARE).collect()]
+    hot_tags = [r["tag"] for r in counts.filter((F.col("n") * HOT_SHARE > n_rows) & (F.col("n") > HOT_LEAST)).select("tag").limit(HOT_SHARE).collect()]
     is_hot = F.col("tag").isin(hot_tags) if hot_tags else F.lit(False)
     width = tasks + 1
     task = F.pmod("tag", F.lit(tasks))
@@ -76,17 +72,22 @@ def name_blocks(rows: DataFrame) -> DataFrame:
 
 def name_pairs(rows: DataFrame) -> DataFrame:
     """``rows`` with ``name`` for (``left``, ``right``): distinct pairs are sorted, named and joined back."""
-    tasks = max(1, math.ceil(rows.count() / ROWS_A_TASK / 10))
-    pairs = rows.select("left", "right").distinct().withColumn("task", F.pmod(F.xxhash64("left", "right"), F.lit(tasks)))
+    total = rows.count()
+    tasks = max(1, math.ceil(total / ROWS_A_TASK / 10))
+    pairs = rows.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n")).withColumn("task", F.pmod(F.xxhash64("left", "right"), F.lit(tasks)))
     rank = F.dense_rank().over(Window.partitionBy("task").orderBy("left", "right")).cast("long")
-    named = pairs.select("left", "right", (rank * tasks + F.col("task")).alias("name"))
-    return rows.join(named, ["left", "right"]).drop("left", "right")
+    named = stored(pairs.select("left", "right", "n", (rank * tasks + F.col("task")).alias("name")), "pairs")
+    return with_group(rows, named, ["left", "right"], "n", total).drop("left", "right", "n")
 
 
-def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``row``, ``head`` and its identity (``level``, ``name``): the number of pairings and the last name."""
+def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: str | None = None) -> DataFrame:
+    """Per row: ``row``, ``head`` and its identity (``level``, ``name``): the number of pairings and the last name.
+
+    ``row`` names a column that numbers the rows; without it they are numbered here, for use in this result only.
+    """
     level, done = 0, []
-    now = stored(name_blocks(_blocks(df, id_col, text_col)), "names")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    now = stored(name_blocks(_blocks(df, id_col, text_col, number)), "names")
     while True:
         one = F.col("last") == 0
         done.append(now.filter(one).select("row", "head", F.lit(level).alias("level"), "name"))
@@ -108,18 +109,19 @@ def identities(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return out
 
 
-def _judged(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = identities(df, id_col, text_col).select("level", "name", "row", "head.*")
+def _judged(df: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
+    rows = identities(df, id_col, text_col, row).select("level", "name", "row", "head.*")
     # of equal texts: most code points, then smallest id, then the row read first
     best = F.min_by(F.struct("id", "row"), F.struct(-F.col("n_chars"), F.col("id").isNull(), "id", "row")).alias("best")
-    groups = rows.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size"))
-    return rows.join(groups, ["level", "name"])
+    groups = stored(rows.groupBy("level", "name").agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
+    return with_group(rows, groups, ["level", "name"], "group_size", groups.agg(F.sum("group_size")).first()[0] or 0)
 
 
 def without_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns. ``df`` must be a stored table: its rows are numbered twice."""
-    dropped_rows = _judged(df, id_col, text_col).filter(F.col("row") != F.col("best.row")).select(F.col("row").alias("__row"))
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(dropped_rows, "__row", "left_anti").drop("__row")
+    """The rows of ``df`` that stay, with all their columns."""
+    rows, row = numbered(df)
+    dropped_rows = _judged(rows, id_col, text_col, row).filter(F.col("row") != F.col("best.row")).select(F.col("row").alias(row))
+    return rows.join(dropped_rows, row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, freed, mapped, stored, table
+from ._common import dropped, freed, mapped, numbered, stored, table
 from .components import connected_components
 
 WORDS = 5
@@ -92,8 +92,8 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(out)
 
 
-def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``row`` (one number a row), ``id``, ``n_shingles``, ``node`` (digest of the set; null if it is empty) and ``sketch`` (signed, in the hash's own order)."""
+def sketches(df: DataFrame, id_col: str, text_col: str, row: str | None = None) -> DataFrame:
+    """``row`` (one number a row: the column ``row`` if given), ``id``, ``n_shingles``, ``node`` (digest of the set; null if it is empty) and ``sketch`` (signed, in the hash's own order)."""
     kind = dict(df.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,8 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             arrays = [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
             yield pa.RecordBatch.from_arrays(arrays, ["row", "id", "n_shingles", "node", "sketch"])
 
-    return mapped(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")), run, f"row long, id {kind}, n_shingles long, node binary, sketch array<long>")
+    number = F.monotonically_increasing_id() if row is None else F.col(row)
+    return mapped(df.select(number.alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary")), run, f"row long, id {kind}, n_shingles long, node binary, sketch array<long>")
 
 
 def inverted_lists(nodes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -235,9 +236,9 @@ def _grouped(lists: DataFrame) -> DataFrame:
     return whole.unionByName(parts).select("grp", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
 
 
-def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int, row: str | None = None) -> DataFrame:
     """Per row: ``row``, ``id``, ``n_shingles`` and ``comp``, the number of its component (null without shingles)."""
-    rows = stored(sketches(df, id_col, text_col), "sketches")
+    rows = stored(sketches(df, id_col, text_col, row), "sketches")
     nodes = rows.filter(F.col("node").isNotNull()).groupBy(F.col("node").alias("digest")).agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     # numbered once and stored: half the bytes of a digest, and they compress
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
@@ -271,12 +272,13 @@ def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` with the smallest id of their component, all columns; one row of each. ``df`` must be a stored table."""
-    named = stored(_labelled(df, id_col, text_col, percent).filter(F.col("comp").isNotNull()), "components")
+    """The rows of ``df`` with the smallest id of their component, all columns; one row of each."""
+    rows, row = numbered(df)
+    named = stored(_labelled(rows, id_col, text_col, percent, row).filter(F.col("comp").isNotNull()), "components")
     order = F.struct(F.col("id").isNull(), "id", "row")
     first = named.groupBy("comp").agg(F.min_by("row", order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dropped_rows = named.join(first, "comp").filter(F.col("row") != F.col("first")).select(F.col("row").alias("__row"))
-    return df.withColumn("__row", F.monotonically_increasing_id()).join(dropped_rows, "__row", "left_anti").drop("__row")
+    dropped_rows = named.join(first, "comp").filter(F.col("row") != F.col("first")).select(F.col("row").alias(row))
+    return rows.join(dropped_rows, row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def op9_bottom_k_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,9 @@ shard takes rows only into itself (about one row in ``shards + 1``).
 
 Defined results. A null key is one key like any other (hash of the empty marker), so such rows share a
 shard. Equal keys always share a shard; repeated rows each get a slot of their own. A null text counts
-as no bytes. An empty table gives an empty result. Columns beside the key and the text do not matter.
+as no bytes. An empty table gives an empty result. Columns beside the key stay as they are, but for ``shard``, ``slot`` and
+``grown_shard``, which the result sets. Rows of one key are numbered in the order of a hash of all their columns, so a task that
+is run again deals the same slots.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ._common import ship, table
+from ._common import fresh, ship, table
 
 #: Rows that one numbering task takes, about.
 ROWS_A_BUCKET = 50_000
@@ -65,17 +67,18 @@ def assign_shards(df: DataFrame, key: str, shards: int, *, rows: int | None = No
     ship(df.sparkSession)
     total = df.count() if rows is None else rows
     buckets = max(1, math.ceil(total / (shards * ROWS_A_BUCKET)))
-    mixed = key_hash(F.col(key))
-    # F.xxhash64 of the hash, for the bucket must not follow the shard
-    tag = F.pmod(F.xxhash64(mixed), F.lit(buckets))
-    placed = df.withColumns({"_hash": mixed, "_bucket": tag})
-    placed = placed.withColumns({"shard": shard_of(F.col("_hash"), shards), "grown_shard": shard_of(F.col("_hash"), shards + 1)})
-    counts = placed.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_bucket").orderBy("_hash", key)
-    ranked = placed.withColumn("_rank", F.row_number().over(inside).cast("long") - 1)
-    return ranked.join(offsets, ["shard", "_bucket"]).withColumn("slot", F.col("_before") + F.col("_rank")).drop("_before", "_rank", "_bucket", "_hash")
+    hashed, bucket, before, rank, tie = fresh(df, "key_hash", "bucket", "before", "rank", "tie")
+    mixed = key_hash(F.col(f"`{key}`"))
+    # the hash of the hash, for the bucket must not follow the shard; rows of one key differ in further columns or not at all
+    rest = [F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind and kind != "variant"]
+    placed = df.withColumns({hashed: mixed, bucket: F.pmod(F.xxhash64(mixed), F.lit(buckets)), tie: F.xxhash64(*rest)}).drop("shard", "slot", "grown_shard")
+    placed = placed.withColumns({"shard": shard_of(F.col(hashed), shards), "grown_shard": shard_of(F.col(hashed), shards + 1)})
+    counts = placed.groupBy("shard", bucket).agg(F.count(F.lit(1)).alias(rank))
+    earlier = Window.partitionBy("shard").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", bucket, F.coalesce(F.sum(rank).over(earlier), F.lit(0)).alias(before))
+    inside = Window.partitionBy("shard", bucket).orderBy(hashed, tie)
+    ranked = placed.withColumn(rank, F.row_number().over(inside).cast("long") - 1)
+    return ranked.join(offsets, ["shard", bucket]).withColumn("slot", F.col(before) + F.col(rank)).drop(hashed, bucket, before, rank, tie)
 
 
 def op3_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

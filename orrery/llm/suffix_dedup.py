@@ -17,8 +17,8 @@ Then the covered stretches of a document are merged and its text is cut. No text
 contexts, and no row is capped or sampled.
 
 Defined results. A null text counts as empty. Texts shorter than ``LENGTH`` stay whole. Null ids come after all others;
-rows with one id are ordered by their place in the input, so of repeated rows one stays whole. Empty tables give empty
-results; further columns do not matter. The input must be read alike when a task is run again.
+rows with one id are numbered once, as they are stored, so of repeated rows one stays whole. Empty tables give empty
+results; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -360,7 +360,7 @@ def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     whole = dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
     if whole and df.select(id_col).groupBy(id_col).count().filter(f"count > 1 OR `{id_col}` IS NULL").isEmpty():
         return df.select(F.col(id_col).alias("id"), F.col(id_col).cast("long").alias("ord"), text)
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text)
+    rows = stored(df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), text), "numbered")
     sorted_rows = rows.select("row", "id").repartitionByRange(F.col("id").isNull(), "id", "row").sortWithinPartitions(F.col("id").isNull(), "id", "row")
     numbers = stored(sorted_rows.select("row", F.monotonically_increasing_id().alias("ord")), "order")
     return stored(rows.join(numbers, "row").select("id", "ord", "bytes"), "ordered")
