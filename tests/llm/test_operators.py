@@ -764,3 +764,74 @@ def test_templates_across_pages(spark):
         assert r["n_chars"] == len(r["text"])
     assert {r["text"] for r in got if r["page_id"] is None} == {"only page"}
     assert collect(html_extract.extract(df.limit(0))) == []
+
+
+def host_pages(spark, bodies, host="h.example"):
+    rows = [(i, f"https://{host}/{i}", page(f"t{i}", b, i)) for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string")
+
+
+def test_classes_by_hand(spark):
+    """Tokens with one occurrence vector are a class: from the vectors themselves."""
+    rnd = random.Random(12)
+    bodies = [f"<div class='a{i % 2}'><p>{words(rnd, 6)}</p><p>{'Shared line' if i < 9 else words(rnd, 3)}</p></div>" + "<div class='ad-box'>x</div>" * (i % 3) for i in range(12)]
+    df = host_pages(spark, bodies)
+    parsed = [html_extract.parse(r["html"]) for r in collect(df)]
+    vectors, marks = {}, set()
+    for i, p in enumerate(parsed):
+        marks |= p.marks
+        for t in p.tokens:
+            vectors.setdefault(t, [0] * 12)[i] += 1
+    want = {}
+    for t, v in vectors.items():
+        n = sum(x > 0 for x in v)
+        if n >= 3 and n >= 12 * (html_extract.RECUR if t in marks else html_extract.SUPPORT):
+            want.setdefault(tuple(v), set()).add(t)
+    got = collect(html_extract.templates(df.selectExpr("'h' AS host", "html")))
+    assert len(got) == 1 and got[0]["n"] == 12
+    assert sorted(sorted(c["tokens"]) for c in got[0]["classes"]) == sorted(sorted(c) for c in want.values()) and len(want) > 4
+
+
+def test_the_template_decides(spark):
+    rnd = random.Random(13)
+    marks = ["style='overflow:hidden'", "aria-hidden='false'", "data-x='hidden gems'", "class='overflow-hidden'", "class='share-price'", "id='legal-analysis'", "data-class='nav'", "class='comments'", "class='sidebar'", ""]
+    texts = [words(rnd, 12) for _ in marks]
+    bodies = [f"<article><h1>Head {i}</h1><div {m}><p>{t}</p></div><select><option>x</select></article>" for i, (m, t) in enumerate(zip(marks, texts, strict=True))]
+    df = host_pages(spark, bodies)
+    got = {r["page_id"]: r["text"] for r in collect(html_extract.extract(df))}
+    # names that do not recur on the host say nothing; menu, advert and footer do recur
+    assert got == {i: f"Head {i} {t}" for i, t in enumerate(texts)}
+    # without the template nothing tells the menu, the advert and the footer apart
+    for r in collect(df):
+        bare_text = html_extract.main_text(html_extract.parse(r["html"]), [], 10)
+        assert bare_text != got[r["page_id"]] and "Link 0" in bare_text and "Buy" in bare_text and texts[r["page_id"]] in bare_text
+    # the same names on many pages
+    bodies = [f"<div class='page-wrap'><div class='story'><p>{words(rnd, 12)} end{i}</p></div><div class='{c}'><p>noise {words(rnd, 30)}</p></div></div>" for i, c in enumerate(["comment-list", "site-footer", "related-posts", "reader-comments"] * 5)]
+    got = {r["page_id"]: r["text"] for r in collect(html_extract.extract(host_pages(spark, bodies)))}
+    assert all(t.endswith(f"end{i}") and "noise" not in t for i, t in got.items())
+
+
+def test_noise_names():
+    yes = "ad ad-banner adBox site-footer cookie-notice comment-list post_comments related-posts sidebar-left-wrap navbar".split()
+    no = "share-price legal-analysis overflow-hidden has-sidebar no-comments header-fixed sidebar-open adventure body story".split()
+    assert [n for n in yes if not html_extract._is_noise(n)] == ["sidebar-left-wrap"] and not [n for n in no if html_extract._is_noise(n)]
+
+
+def test_pages_of_odd_rows(spark, odd):
+    from pyspark.sql import functions as F
+
+    long = words(random.Random(3), 60_000)
+    rows = [(1, "https://a.example/1", f"<article><p>{long}</p></article>"), (1, "https://a.example/1", f"<article><p>{long}</p></article>"), (2, "https://a.example/2", "<div>" * 3000 + "deep" + "</div>" * 3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for c in ("host", "id", "classes", "n", "text", "n_chars", "token", "pages"):
+        df = df.withColumn(c, F.lit("clash"))
+    got = collect(html_extract.extract(df))
+    assert sorted(len(r["text"]) for r in got) == [4, len(long), len(long)]
+
+
+def test_templates_joined_by_a_shuffle(spark, monkeypatch):
+    rnd = random.Random(14)
+    df = host_pages(spark, [f"<article><p>{words(rnd, 12)}</p></article>" for _ in range(8)]).union(host_pages(spark, [f"<p>{words(rnd, 9)}</p>"], "rare.example"))
+    want = sorted(r["text"] for r in collect(html_extract.extract(df)))
+    monkeypatch.setattr(html_extract, "BROADCAST_TOKENS", 0)
+    assert sorted(r["text"] for r in collect(html_extract.extract(df))) == want
