@@ -140,7 +140,7 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+def mapped(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with this package on the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)

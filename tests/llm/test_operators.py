@@ -149,6 +149,54 @@ def test_quality_matches_a_dense_fit(spark):
     assert np.allclose(model.scores(x), 1 / (1 + np.exp(logs[0] - logs[1])))
 
 
+def test_statistics_by_hand():
+    def by_hand(t):
+        if not t:
+            return [0.0] * 11
+        b, w = t.encode(), t.encode().split()
+        n, count = len(b), max(1, len(w))
+        upper, lower = sum(65 <= c <= 90 for c in b), sum(97 <= c <= 122 for c in b)
+        root = lambda k, of, prior: (k / (of + prior)) ** 0.5
+        chars = lambda s: root(sum(c in s for c in b), n, 40)
+        repeats = sum(x == y for x, y in zip(w, w[1:], strict=False))
+        return [np.log1p(n), root(upper, upper + lower, 40), chars(quality.SYMBOLS), chars(b"!"), chars(b"|"), chars(b"0123456789"), np.log1p(len(set(w))) / np.log1p(count), root(repeats, count, 10), np.log1p((n - b.count(b" ")) / count), chars(b" "), chars(b"\n")]
+
+    for t in ("", " ", "\n\n", "A", "the the the", "Ünïcode | TEXT!! 12 <b>", "x" * 5000, "a b\nc d\n" * 300, "日本語 " * 50):
+        assert np.allclose(quality.statistics(t.encode()), by_hand(t)), t
+
+
+def test_constants_are_cross_validated_on_learnable_rows(spark, monkeypatch):
+    rnd = np.random.default_rng(4)
+    x = np.concatenate([rnd.normal(size=(150, 11)), rnd.normal(0.8, 1.5, size=(60, 11))])
+    y = np.repeat([0, 1], [150, 60])
+    df = spark.createDataFrame([(v.tolist(), int(c)) for v, c in zip(x, y, strict=True)], "stats array<double>, label int")
+    from pyspark.sql import functions as F
+
+    rows = [(np.array(r["stats"]), r["label"], r["fold"]) for r in df.withColumn("fold", F.pmod(F.xxhash64("stats"), F.lit(quality.FOLDS)).cast("int")).collect()]
+    x, y, fold = (np.array([r[i] for r in rows]) for i in range(3))
+
+    def of(rows):
+        return tuple(quality.Moments(int((y[rows] == c).sum()), x[rows][y[rows] == c].sum(axis=0), x[rows][y[rows] == c].T @ x[rows][y[rows] == c]) for c in (0, 1))
+
+    losses = []
+    for constants in quality.GRID:
+        p = np.zeros(len(y))
+        for k in range(quality.FOLDS):
+            p[fold == k] = quality.discriminant(of(fold != k), *constants).scores(x[fold == k])
+        losses.append(-np.log(np.where(y == 1, p, 1 - p)).sum())
+    want = quality.discriminant(of(fold >= 0), *quality.GRID[int(np.argmin(losses))])
+    assert np.allclose(quality.cross_validated(df).scores(x), want.scores(x)) and len(set(np.round(losses, 3))) > 5
+
+
+def test_held_out_labels_change_nothing(spark):
+    rnd = random.Random(6)
+    docs = spark.createDataFrame([(i, words(rnd, 30).upper() + "!!" if i % 3 == 0 else words(rnd, 40), None, None, None) for i in range(200)], SCHEMA)
+    right = [(i, int(i % 3 > 0)) for i in range(200)]
+    wrong = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q) for i, q in right]
+    scores = [{r["doc_id"]: r["score"] for r in collect(quality.classify(docs, spark.createDataFrame(x, "doc_id long, quality int")))} for x in (right, wrong)]
+    assert scores[0] == pytest.approx(scores[1], rel=1e-9)
+
+
 def test_quality_of_odd_tables(spark, odd, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in collect(quality.classify(odd, none))} == {0.5}
