@@ -5,8 +5,8 @@ items and of the documents are hashed and joined; around every hit the item is l
 diagonal, and the best stretch (a match scores 1, a substitution -2) decides. An overlap is reported where the stretch
 has ``MATCHES`` equal tokens, or four fifths of a shorter item, and at most one substitution in five tokens.
 
-The benchmark is the stated query set: it is cut into blocks of ``BLOCK_BYTES`` of text, each block is sent to all tasks
-and all documents pass by it, so nothing unbounded is broadcast and the documents are never shuffled.
+The benchmark is the stated query set: it is cut into blocks of ``BLOCK_BYTES`` of text, and all documents pass by each block in
+a job of its own. So a task never holds more than one block, nothing unbounded is sent, and no text is shuffled.
 
 Defined results. Tokens are runs of letters and digits, lower-cased. Null and empty texts have none. An item of fewer
 than ``SPAN`` tokens has no seed: it is hashed whole and overlaps where all of its tokens follow each other. Repeated items and repeated
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 
-from ._common import mapped, ship, slices, table
+from ._common import mapped, numbered, ship, slices, stored, table
 
 #: Fixed masks of one span: each has six positions that count, first and last included.
 MASKS = ("11010010011", "10110001101", "11001100101", "10011101001")
@@ -97,18 +97,20 @@ class Items:
         return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
 
     def verify(self, ids: np.ndarray, first: int, last: int, item: int, diagonal: int) -> tuple[int, int, int, int] | None:
-        """The best stretch of the item on the diagonal inside tokens first to last: (document start, item start, length, equal tokens)."""
+        """A best stretch of the item on the diagonal inside tokens first to last that is an overlap: (document start, item start, length, equal tokens)."""
         own = self.tokens[item]
         a, b = max(0, first - diagonal), min(len(own), last - diagonal)
         equal = own[a:b] == ids[diagonal + a : diagonal + b]
         sums = np.concatenate([[0], np.cumsum(np.where(equal, 1, -2))])
         lows = np.minimum.accumulate(sums)
-        end = int(np.argmax(sums - lows))
-        start = int(np.argmin(sums[: end + 1]))
-        matches = int(equal[start:end].sum())
-        if matches < min(MATCHES, math.ceil(IDENTITY * len(own))) or matches < IDENTITY * (end - start):
-            return None
-        return diagonal + a + start - first, a + start, end - start, matches
+        gains = sums - lows
+        # of equally good stretches the longer ones have more equal tokens, the shorter ones a greater share of them
+        for end in np.flatnonzero(gains == gains.max()):
+            for start in np.flatnonzero(sums[: end + 1] == lows[end]):
+                matches = int(equal[start:end].sum())
+                if matches >= min(MATCHES, math.ceil(IDENTITY * len(own))) and matches >= IDENTITY * (end - start):
+                    return diagonal + a + int(start) - first, a + int(start), int(end - start), matches
+        return None
 
 
 def _overlaps(texts: list[str | None], items: Items) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -137,18 +139,22 @@ def _overlaps(texts: list[str | None], items: Items) -> Iterator[tuple[int, int,
                 yield (k, int(item), *best)
 
 
-def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list, list[str | None]]]:
-    """Ids and texts of the benchmark in blocks of about ``block_bytes``, dealt by hash; an empty benchmark is one empty block."""
-    size = benchmark.agg(F.sum(F.octet_length(item_text) + 16)).first()[0] or 0
+def item_blocks(benchmark: DataFrame, item_id: str, item_text: str, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[bool, list, list[str | None]]]:
+    """Blocks of about ``block_bytes``, dealt by hash: whether there are more, ids and texts; an empty benchmark is one empty block."""
+    own = benchmark.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{item_text}`").alias("text"))
+    size = own.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    dealt = benchmark.select(F.col(item_id), F.col(item_text), F.pmod(F.xxhash64(F.col(item_text), F.col(item_id).cast("string")), F.lit(blocks)).alias("_block"))
+    dealt = own.withColumn("block", F.pmod(F.xxhash64("text", F.col("id").cast("string")), F.lit(blocks)))
+    if blocks > 1:
+        # sorted by block: reading one skips the row groups of all others
+        dealt = stored(dealt.repartitionByRange("block").sortWithinPartitions("block"), "items")
     for block in range(blocks):
-        rows = sorted(dealt.filter(F.col("_block") == block).collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
-        yield [r[0] for r in rows], [r[1] for r in rows]
+        rows = sorted(dealt.filter(F.col("block") == block).select("id", "text").collect(), key=lambda r: (r[0] is None, r[0], r[1] or ""))
+        yield blocks > 1, [r[0] for r in rows], [r[1] for r in rows]
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without an overlap, all columns; nothing is shuffled."""
+def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` without an overlap, all columns; no text is shuffled."""
     ship(docs.sparkSession)
 
     def test(texts: list[str | None]):
@@ -164,20 +170,25 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
 
         return free
 
-    for _, texts in item_blocks(benchmark, item_id, item_text):
-        docs = docs.filter(test(texts)(F.col(text_col)))
-    return docs
+    rows = row = leaks = None
+    for several, _, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
+        if not several:
+            return docs.filter(test(texts)(F.col(f"`{text_col}`")))
+        if rows is None:
+            rows, row = numbered(docs)
+        found = stored(rows.filter(~test(texts)(F.col(f"`{text_col}`"))).select(row), "leaks")
+        leaks = found if leaks is None else leaks.unionByName(found)
+    return rows.join(leaks.distinct(), row, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows ``id_col``, ``item_id``, ``doc_start``, ``item_start``, ``n_tokens`` and ``n_equal``, one for each overlap (positions in tokens)."""
     kinds = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_id]
     schema = f"`{id_col}` {kinds[0]}, `{item_id}` {kinds[1]}, doc_start int, item_start int, n_tokens int, n_equal int"
-    slim = docs.select(id_col, text_col)
-    out = None
-    for ids, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
+    slim = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, texts=texts) -> Iterator[pa.RecordBatch]:
+    def run_with(ids: list, texts: list[str | None]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(texts)
             for batch in batches:
                 column = batch.column(1).to_pylist()
@@ -190,7 +201,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", t
                             [own, pa.array([ids[i] for i in item]), *(pa.array(r, pa.int32()) for r in rest)], [id_col, item_id, "doc_start", "item_start", "n_tokens", "n_equal"]
                         )
 
-        found = mapped(slim, run, schema)
+        return run
+
+    out = None
+    for several, ids, texts in item_blocks(benchmark, item_id, item_text, block_bytes):
+        found = mapped(slim, run_with(ids, texts), schema)
+        if several:
+            found = stored(found, "overlaps")
         out = found if out is None else out.unionByName(found)
     return out
 

@@ -727,12 +727,52 @@ def test_overlaps_tolerate_substitutions(spark):
         rows = collect(decontamination.overlaps(a, b, block_bytes=size))
         assert {(r["doc_id"], r["item_id"]) for r in rows} == truth
         assert all(r["n_equal"] >= decontamination.IDENTITY * r["n_tokens"] for r in rows)
-    clean = collect(decontamination.without_leaks(a, b))
-    assert {r["doc_id"] for r in clean} == {d for d, _ in docs} - {d for d, _ in truth}
+        clean = collect(decontamination.without_leaks(a, b, block_bytes=size))
+        assert {r["doc_id"] for r in clean} == {d for d, _ in docs} - {d for d, _ in truth}
     assert collect(decontamination.overlaps(a, b.limit(0))) == [] and collect(decontamination.overlaps(a.limit(0), b)) == []
     assert decontamination.without_leaks(a, b.limit(0)).count() == len(docs)
 
 
+def test_overlaps_by_exhaustive_alignment(spark):
+    """Every document against every item on every diagonal, hits by comparing tokens under the masks, best stretches by trying all."""
+    rnd = random.Random(44)
+    vocabulary = words(rnd, 60).split()
+    text = lambda n: [rnd.choice(vocabulary) for _ in range(n)]
+    items = {i: text(rnd.randrange(4, 40)) for i in range(12)}
+    docs = {}
+    for i in range(40):
+        own = text(rnd.randrange(0, 60))
+        for _ in range(rnd.randrange(3)):
+            w = list(items[rnd.randrange(12)])
+            w = [rnd.choice(vocabulary) if rnd.random() < 0.04 * (i % 6) else x for x in w][rnd.randrange(5) :]
+            at = rnd.randrange(len(own) + 1)
+            own[at:at] = w
+        docs[i] = own
+    masks = [[k for k, c in enumerate(m) if c == "1"] for m in decontamination.MASKS]
+    truth = set()
+    for d, own in docs.items():
+        for i, item in items.items():
+            for diagonal in range(-len(item) + 1, len(own)):
+                a, b = max(0, -diagonal), min(len(item), len(own) - diagonal)
+                equal = [own[diagonal + k] == item[k] for k in range(a, b)]
+                if len(item) < decontamination.SPAN:
+                    hit = b - a == len(item) and all(equal)
+                else:
+                    hit = any(all(equal[s + k] for k in m) for m in masks for s in range(len(equal) - decontamination.SPAN + 1))
+                if not hit:
+                    continue
+                sums = np.concatenate([[0], np.cumsum([1 if e else -2 for e in equal])])
+                pairs = [(x, y) for y in range(len(sums)) for x in range(y + 1)]
+                best = max(sums[y] - sums[x] for x, y in pairs)
+                ends = [(sum(equal[x:y]), y - x) for x, y in pairs if sums[y] - sums[x] == best]
+                if any(m >= min(decontamination.MATCHES, -(-4 * len(item) // 5)) and m >= 0.8 * n for m, n in ends):
+                    truth.add((d, i, diagonal))
+    a = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["doc_start"] - r["item_start"]) for r in collect(decontamination.overlaps(a, b))}
+    assert got == truth and len(truth) > 20
+
+
 def test_items_shorter_than_the_span(spark):
     rnd = random.Random(21)
     items = [(n, words(rnd, n)) for n in range(3, 12)] + [(50, ""), (51, None), (52, items_copy := words(rnd, 6)), (53, items_copy)]
