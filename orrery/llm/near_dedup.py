@@ -10,9 +10,10 @@ Which lists count. Two sets at the threshold share ``needed(percent)`` values of
 ``MISS``; so of each sketch only the ``size - needed + 1`` rarest values (by the counts over the whole corpus) need lists. Values that very many documents share drop out of all but those documents that consist of them.
 
 Groups. Nodes that lists connect are a group; a group that grew beyond ``GROUP_MAX`` nodes is taken apart into its lists
-again. A group's full sets are compared in blocks of ``BLOCK`` nodes: a task gets two blocks, counts all intersections by one
-product of incidence matrices, and returns a spanning forest of the links, never all pairs. So no list is cut, no task gets
-more than two blocks, and each set is sent once for each block of its group. Components come from the forests.
+again. A group's sets are compared in blocks of about ``BLOCK`` nodes and ``BLOCK_BYTES``: a task gets two blocks, estimates
+all similarities from the sketches by one product of incidence matrices, counts the intersections of the full sets of those
+nodes that the estimate leaves a partner, and returns a spanning forest of the links, never all pairs. So no list is cut, no task
+gets more than two blocks, and each set is sent once for each block of its group. Components come from the forests.
 
 Defined results. Null and empty texts have no shingle and are linked with nothing. Equal sets are linked whatever the
 ids. Rows repeated with one id share a component and are all kept or all dropped. A null id is never a component's
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import dropped, freed, mapped, numbered, stored, table
+from ._common import dropped, freed, mapped, numbered, stored, table, with_group
 from .components import connected_components
 
 WORDS = 5
@@ -41,8 +42,8 @@ PERCENT, STAGE_PERCENT = 85, 80
 K = 32
 #: Greatest chance that two full sketches at the threshold share fewer values than ``needed``.
 MISS = 4e-6
-#: Nodes of a block, and of a group that is not taken apart.
-BLOCK, GROUP_MAX = 256, 20_000
+#: Nodes of a block and bytes of its sets, about, and nodes of a group that is not taken apart.
+BLOCK, BLOCK_BYTES, GROUP_MAX = 1024, 8 << 20, 20_000
 #: Nodes up to which their ids are sent to all tasks that look for their texts; beyond, texts and ids are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Words a worker remembers the hash of; then it starts anew.
@@ -145,28 +146,58 @@ def _sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame, send: bo
     return mapped(joined.select("node", "digest", "text"), run, "node long, set binary")
 
 
-def linked(sets: list[np.ndarray], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the sets; with ``left`` over 0, of those between the first ``left`` sets and the others."""
+def intersections(sets: list[np.ndarray], left: int) -> np.ndarray:
+    """Sizes of the intersections of the first ``left`` sets (of all, if 0) with the others (all)."""
     n = len(sets)
-    sizes = np.array([len(x) for x in sets])
-    rows, columns = (0, left) if left else (0, 0)
+    rows, columns = slice(0, left or n), slice(left, n)
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(x) for x in sets])
     order = np.argsort(values, kind="stable")
     values, owner = values[order], owner[order]
-    new = np.append(True, values[1:] != values[:-1])
-    run = np.cumsum(new) - 1
+    run = np.cumsum(np.append(True, values[1:] != values[:-1])) - 1
     shared = np.bincount(run)[run] > 1
     run, owner = np.unique(run[shared], return_inverse=True)[1], owner[shared]
-    common = np.zeros((left or n, n - columns), np.float32)
+    common = np.zeros((left or n, n - left), np.float32)
     step = 4096
     bounds = np.searchsorted(run, np.arange(0, (run[-1] + 1 if len(run) else 0) + step, step))
     for k, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
         incidence = np.zeros((n, step), np.float32)
         incidence[owner[a:b], run[a:b] - k * step] = 1
-        common += incidence[rows : left or n] @ incidence[columns:].T
-    union = sizes[rows : left or n, None] + sizes[None, columns:] - common
-    parent = list(range(n))
+        common += incidence[rows] @ incidence[columns].T
+    # whole numbers far below 2**24: exact
+    return common.astype(np.int64)
+
+
+def plausible(sets: list[np.ndarray], left: int, percent: int) -> np.ndarray:
+    """Whether the sizes and the union sketch allow the threshold, for the pairs of ``intersections``.
+
+    The sketch of a union is the K smallest values of both sketches. A value in both sketches is in it unless K values of the union
+    are smaller, so the number of shared sketch values is an upper bound of the hits that the estimate counts.
+    """
+    sizes = np.array([len(x) for x in sets])
+    a, b = sizes[: left or len(sets), None], sizes[None, left:]
+    small, large = np.minimum(a, b), np.maximum(a, b)
+    least = np.minimum(needed(percent), -(-small * percent // 100))
+    return (small * 100 >= percent * large) & (intersections([x[:K] for x in sets], left) >= least)
+
+
+def linked(sets: list[np.ndarray], left: int, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """A spanning forest of the links among the sets; with ``left`` over 0, of those between the first ``left`` sets and the others."""
+    may = plausible(sets, left, percent)
+    if not left:
+        np.fill_diagonal(may, False)
+    # only nodes with a candidate go on to their full sets
+    rows, columns = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0)) + left
+    if not len(rows):
+        return []
+    chosen = rows.tolist() + columns.tolist() if left else rows.tolist()
+    part = len(rows) if left else 0
+    own = [sets[i] for i in chosen]
+    common = intersections(own, part)
+    sizes = np.array([len(x) for x in own])
+    union = sizes[: part or len(own), None] + sizes[None, part:] - common
+    may = may[np.ix_(rows, columns - left)]
+    parent = list(range(len(own)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -175,25 +206,14 @@ def linked(sets: list[np.ndarray], left: int, percent: int = PERCENT) -> list[tu
         return x
 
     out = []
-    # exact: counts are whole numbers far below 2**24
-    for a, b in zip(*np.nonzero(100 * common.astype(np.int64) >= percent * union.astype(np.int64)), strict=True):
-        x, y = int(a), int(b) + columns
-        if x != y and (p := root(x)) != (q := root(y)):
+    for a, b in zip(*np.nonzero(may & (100 * common >= percent * union)), strict=True):
+        x, y = int(a), int(b) + part
+        if (p := root(x)) != (q := root(y)):
             parent[max(p, q)] = min(p, q)
-            out.append((x, y))
+            out.append((chosen[x], chosen[y]))
     return out
 
 
-def _plausible(sketch: np.ndarray, other: np.ndarray, n: int, m: int, percent: int) -> bool:
-    """Whether the sizes and the union sketch allow the threshold."""
-    if min(n, m) * 100 < percent * max(n, m):
-        return False
-    both = np.intersect1d(sketch, other, assume_unique=True)
-    union = np.union1d(sketch, other)[:K]
-    hits = int((both <= union[-1]).sum())
-    return hits * 100 >= len(union) * percent if len(union) < K else hits >= needed(percent)
-
-
 def _links(dealt: DataFrame, percent: int) -> DataFrame:
     """(``a``, ``b``) from (``grp``, ``i``, ``j``, ``block``, ``node``, ``set``) sorted by all but the last."""
 
@@ -201,11 +221,7 @@ def _links(dealt: DataFrame, percent: int) -> DataFrame:
         def solve(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
             nodes, sets = [r[1] for r in rows], [np.frombuffer(r[2], np.uint64) for r in rows]
             left = sum(r[0] == key[1] for r in rows) if key[1] != key[2] else 0
-            # of two nodes the estimate comes first; a block's product gives all intersections at once
-            if len(rows) == 2 and not _plausible(sets[0][:K], sets[1][:K], len(sets[0]), len(sets[1]), percent):
-                pairs = []
-            else:
-                pairs = linked(sets, left, percent) if len(rows) > left else []
+            pairs = linked(sets, left, percent) if len(rows) > left else []
             return pa.RecordBatch.from_arrays([pa.array([nodes[x] for x, _ in pairs], pa.int64()), pa.array([nodes[y] for _, y in pairs], pa.int64())], ["a", "b"])
 
         key, rows = None, []
@@ -224,28 +240,38 @@ def _links(dealt: DataFrame, percent: int) -> DataFrame:
     return mapped(dealt, run, "a long, b long")
 
 
-def _grouped(lists: DataFrame) -> DataFrame:
-    """(``grp``, ``node``, ``blocks``): groups of nodes that lists connect, or single lists where a group is too large; with its number of blocks."""
-    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z")
-    groups = connected_components(lists.join(heads, "value").filter("node <> a").select("a", F.col("node").alias("b")))
-    sizes = groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    whole = groups.join(sizes.filter(F.col("size") <= GROUP_MAX), "comp").select(F.concat(F.lit("g"), F.col("comp").cast("string")).alias("grp"), "node", "size")
-    parts = lists.join(groups.join(sizes.filter(F.col("size") > GROUP_MAX), "comp").select("node"), "node", "left_semi")
-    lengths = parts.groupBy("value").agg(F.count(F.lit(1)).alias("size"))
-    parts = parts.join(lengths, "value").select(F.concat(F.lit("v"), F.col("value").cast("string")).alias("grp"), "node", "size")
-    return whole.unionByName(parts).select("grp", "node", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+def _grouped(lists: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(``grp``, ``node``, ``blocks``): groups of nodes that lists connect, or single lists where a group is too large; with its number of blocks.
+
+    ``sizes`` has the ``bytes`` of each node's set.
+    """
+    heads = lists.groupBy("value").agg(F.min("node").alias("a"), F.max("node").alias("z"), F.count(F.lit(1)).alias("n")).filter("a <> z")
+    heads = stored(heads, "heads")
+    total = heads.agg(F.sum("n")).first()[0] or 0
+    groups = connected_components(with_group(lists.select("value", "node"), heads, ["value"], "n", total).filter("node <> a").select("a", F.col("node").alias("b")))
+    groups = stored(groups.join(sizes, "node"), "grouped")
+    numbers = stored(groups.groupBy("comp").agg(F.count(F.lit(1)).alias("size"), F.sum("bytes").alias("bytes")), "numbers")
+    n_nodes = numbers.agg(F.sum("size")).first()[0] or 0
+    whole = with_group(groups.select("comp", "node"), numbers.filter(F.col("size") <= GROUP_MAX), ["comp"], "size", n_nodes)
+    whole = whole.select(F.concat(F.lit("g"), F.col("comp").cast("string")).alias("grp"), "node", "size", "bytes")
+    large = with_group(groups.select("comp", "node", F.col("bytes").alias("own")), numbers.filter(F.col("size") > GROUP_MAX).select("comp", "size"), ["comp"], "size", n_nodes)
+    parts = lists.select("value", "node").join(large.select("node", "own"), "node")
+    lengths = stored(parts.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.sum("own").alias("bytes")), "lengths")
+    parts = with_group(parts.select("value", "node"), lengths, ["value"], "size", total).select(F.concat(F.lit("v"), F.col("value").cast("string")).alias("grp"), "node", "size", "bytes")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    return whole.unionByName(parts).select("grp", "node", F.least(F.col("size").cast("int"), blocks).alias("blocks"))
 
 
 def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int, row: str | None = None) -> DataFrame:
     """Per row: ``row``, ``id``, ``n_shingles`` and ``comp``, the number of its component (null without shingles)."""
     rows = stored(sketches(df, id_col, text_col, row), "sketches")
-    nodes = rows.filter(F.col("node").isNotNull()).groupBy(F.col("node").alias("digest")).agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+    nodes = rows.filter(F.col("node").isNotNull()).groupBy(F.col("node").alias("digest")).agg(F.count(F.lit(1)).alias("n_rows"), F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     # numbered once and stored: half the bytes of a digest, and they compress
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
     freed(df.sparkSession)
     lists = stored(inverted_lists(nodes, percent), "lists")
     freed(df.sparkSession)
-    grouped = stored(_grouped(lists), "groups")
+    grouped = stored(_grouped(lists, nodes.select("node", (F.col("n_shingles") * 8).alias("bytes"))), "groups")
     wanted = nodes.select("node", "digest", "rep").join(grouped.select("node").distinct(), "node", "left_semi")
     sets = stored(_sets(df, id_col, text_col, wanted, grouped.count() <= BROADCAST_NODES), "sets")
     # a node of block i goes to the pairs of blocks (i, j) for all j
@@ -257,16 +283,20 @@ def _labelled(df: DataFrame, id_col: str, text_col: str, percent: int, row: str
     dropped(sets)
     freed(df.sparkSession)
     components = connected_components(links)
-    named = nodes.select(F.col("digest").alias("node"), F.col("node").alias("number")).join(components.withColumnRenamed("node", "number"), "number", "left")
-    named = named.select("node", F.coalesce("comp", "number").alias("comp"))
-    return rows.select("row", "id", "n_shingles", "node").join(named, "node", "left").select("row", "id", "n_shingles", "comp")
+    named = nodes.select(F.col("digest").alias("node"), "n_rows", F.col("node").alias("number")).join(components.withColumnRenamed("node", "number"), "number", "left")
+    named = stored(named.select("node", "n_rows", F.coalesce("comp", "number").alias("comp")), "named")
+    slim = rows.select("row", "id", "n_shingles", "node")
+    some = with_group(slim.filter(F.col("node").isNotNull()), named, ["node"], "n_rows", named.agg(F.sum("n_rows")).first()[0] or 0)
+    none = slim.filter(F.col("node").isNull()).withColumn("comp", F.lit(None).cast("long"))
+    return some.select("row", "id", "n_shingles", "comp").unionByName(none.select("row", "id", "n_shingles", "comp"))
 
 
 def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per row: ``id_col``, ``n_shingles``, ``component_id``, ``kept``."""
     named = _labelled(df, id_col, text_col, percent)
-    names = named.filter(F.col("comp").isNotNull()).groupBy("comp").agg(F.min("id").alias("least"))
-    out = named.join(names, "comp", "left")
+    named = stored(named, "components")
+    names = stored(named.groupBy("comp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "names")
+    out = with_group(named, names, ["comp"], "n", names.agg(F.sum("n")).first()[0] or 0)
     component = F.when(F.col("comp").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
 
@@ -276,8 +306,9 @@ def without_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows, row = numbered(df)
     named = stored(_labelled(rows, id_col, text_col, percent, row).filter(F.col("comp").isNotNull()), "components")
     order = F.struct(F.col("id").isNull(), "id", "row")
-    first = named.groupBy("comp").agg(F.min_by("row", order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    dropped_rows = named.join(first, "comp").filter(F.col("row") != F.col("first")).select(F.col("row").alias(row))
+    first = stored(named.groupBy("comp").agg(F.min_by("row", order).alias("first"), F.count(F.lit(1)).alias("n")), "names")
+    total = first.agg(F.sum("n")).first()[0] or 0
+    dropped_rows = with_group(named, first.filter("n > 1"), ["comp"], "n", total).filter(F.col("row") != F.col("first")).select(F.col("row").alias(row))
     return rows.join(dropped_rows, row, "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import os
 import random
 import re
 import zlib
@@ -400,6 +401,53 @@ def test_linked_finds_the_components_of_brute_force():
     assert parts(near_dedup.linked(sets, 12)) == parts(cross)
 
 
+def test_plausible_lets_every_link_through():
+    """The estimate may only pass too many: it is compared with the union sketch of each pair."""
+    rnd = np.random.default_rng(5)
+    base = np.sort(rnd.integers(0, 1 << 60, 300)).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[rnd.random(300) > 0.04 * (i % 9)], rnd.integers(0, 1 << 60, 9 * (i % 5)).astype(np.uint64)])) for i in range(40)] + [base[:3], base[:2]]
+    may = near_dedup.plausible(sets, 0, 85)
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            union = np.union1d(x[: near_dedup.K], y[: near_dedup.K])[: near_dedup.K]
+            hits = np.isin(union, x).sum() + np.isin(union, y).sum() - len(union)
+            sizes = min(len(x), len(y)) * 100 >= 85 * max(len(x), len(y))
+            if sizes and hits >= (near_dedup.needed(85) if len(union) == near_dedup.K else np.ceil(0.85 * min(len(x), len(y)))):
+                assert may[i, j]
+    assert not may.all()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the test tables")
+def test_recall_on_a_whole_table(spark):
+    """All links among the 10,000 documents, by exact prefix filtering on the full sets: none is lost."""
+    df = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+    sets = {k: near_dedup.shingles((t or "").encode()) for k, t in texts}
+    count = Counter(x for s in sets.values() for x in s.tolist())
+    lists, root = {}, {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    n_links = 0
+    for k, s in sorted(sets.items()):
+        order = sorted(s.tolist(), key=lambda x: (count[x], x))
+        prefix = order[: len(order) - -(-85 * len(order) // 100) + 1] if order else []
+        for other in sorted({o for x in prefix for o in lists.get(x, ())}):
+            common = len(np.intersect1d(s, sets[other], assume_unique=True))
+            if 100 * common >= 85 * (len(s) + len(sets[other]) - common):
+                n_links += 1
+                a, b = find(k), find(other)
+                root[max(a, b)] = min(a, b)
+        for x in prefix:
+            lists.setdefault(x, []).append(k)
+    got = {r["doc_id"]: r["component_id"] for r in collect(near_dedup.near_components(df))}
+    assert n_links > 500 and got == {k: find(k) for k in sets}
+
+
 def test_connected_components(spark):
     rnd = random.Random(1)
     links = [(i, i + 1) for i in range(100, 140)] + [(rnd.randrange(60), rnd.randrange(60)) for _ in range(30)] + [(7, 7), (None, 3)]
