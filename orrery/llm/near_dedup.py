@@ -43,7 +43,7 @@ K = 32
 #: Greatest chance that two full sketches at the threshold share fewer values than ``needed``.
 MISS = 4e-6
 #: Nodes of a block and bytes of its sets, about, and nodes of a group that is not taken apart.
-BLOCK, BLOCK_BYTES, GROUP_MAX = 1024, 8 << 20, 20_000
+BLOCK, BLOCK_BYTES, GROUP_MAX = 512, 8 << 20, 20_000
 #: Nodes up to which their ids are sent to all tasks that look for their texts; beyond, texts and ids are joined by a shuffle.
 BROADCAST_NODES = 500_000
 #: Words a worker remembers the hash of; then it starts anew.

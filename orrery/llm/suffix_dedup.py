@@ -5,7 +5,8 @@ goes. Equal strings must meet in one task, so each window of ``LENGTH`` bytes is
 hash in it: equal windows have equal minimisers. Neighbouring windows with one minimiser form a context, a stretch of bytes.
 
 1. All contexts, as slim rows, are dealt and sorted by the minimiser. Minimisers seen once are done. Contexts with equal
-   bytes (by two 64-bit hashes) are one; all but the earliest are covered as a whole.
+   bytes (by two 64-bit hashes) are one; all but the earliest are covered as a whole. That is settled among the texts of a
+   chunk first, so a passage that a third of all texts share sends one context a chunk to its minimiser's task.
 2. Different contexts of one minimiser are cut from the texts and brought together in blocks. A block's contexts are sorted
    into a Burrows-Wheeler transform. Breadth-first backward extension from the empty string derives the common prefixes of
    neighbours in increasing length and stops at ``LENGTH``: neighbours that got no value by then share so many bytes.
@@ -139,8 +140,24 @@ def _chunks(texts: list[memoryview | bytes]) -> Iterator[tuple[np.ndarray, list[
         yield np.concatenate(parts), where
 
 
+def repeated(h: np.ndarray, c: np.ndarray, order: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Which contexts have an equal one (``h``, ``c``) of smaller (order, start) among these."""
+    out = np.zeros(len(h), bool)
+    with np.errstate(over="ignore"):
+        key = h * np.int64(-7046029254386353131) + c
+    by = np.argsort(key, kind="stable")
+    same = key[by[1:]] == key[by[:-1]]
+    some = np.zeros(len(h), bool)
+    some[1:] |= same
+    some[:-1] |= same
+    rows = by[some]
+    by = rows[np.lexsort((start[rows], order[rows], c[rows], h[rows]))]
+    out[by[1:][(h[by[1:]] == h[by[:-1]]) & (c[by[1:]] == c[by[:-1]])]] = True
+    return out
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """(``h``, ``c``, ``ord``, ``a``, ``m``) of all contexts of (``ord``, ``bytes``)."""
+    """(``h``, ``c``, ``ord``, ``a``, ``m``, ``again``) of all contexts of (``ord``, ``bytes``); ``again``: an equal one of the chunk is earlier."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,14 +168,15 @@ def _occurrences(docs: DataFrame) -> DataFrame:
                 a, m, h, c = contexts(chunk, end)
                 part = np.searchsorted(end, a, side="right")
                 begin = np.concatenate([[0], end[:-1]])
-                start = a - begin[part] + offset[part]
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(order[owner[part]]), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32))], ["h", "c", "ord", "a", "m"])
+                start, own = a - begin[part] + offset[part], order[owner[part]]
+                again = repeated(h, c, own, start)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(own), pa.array(start.astype(np.int32)), pa.array(m.astype(np.int32)), pa.array(again)], ["h", "c", "ord", "a", "m", "again"])
 
-    return mapped(docs, run, "h long, c long, ord long, a int, m int")
+    return mapped(docs, run, "h long, c long, ord long, a int, m int, again boolean")
 
 
 def _sifted(occurrences: DataFrame, cap: int = CAP) -> DataFrame:
-    """From rows sorted by (``h``, ``c``, ``ord``, ``a``): ``kind`` 0 covered as a whole, 1 to be compared in a block, 2 to be split into windows."""
+    """From rows sorted by (``again``, ``h``, ``c``, ``ord``, ``a``): ``kind`` 0 covered as a whole, 1 to be compared in a block, 2 to be split into windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(kind: int, rows: np.ndarray) -> pa.RecordBatch:
@@ -172,6 +190,12 @@ def _sifted(occurrences: DataFrame, cap: int = CAP) -> DataFrame:
             if not batch.num_rows:
                 continue
             h, c, o, a, m = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+            known = batch.column(5).to_numpy(zero_copy_only=False).astype(bool)
+            if known.any():
+                yield out(0, np.stack([h, o, a, m], axis=1)[known])
+                h, c, o, a, m = (x[~known] for x in (h, c, o, a, m))
+                if not len(h):
+                    continue
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             if last is not None:
@@ -369,7 +393,9 @@ def _ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_stretches(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """(``ord``, ``a``, ``m``): m windows from a on start earlier elsewhere; of documents (``ord``, ``bytes``)."""
     spark = docs.sparkSession
-    occurrences = _occurrences(docs.select("ord", "bytes")).repartition("h").sortWithinPartitions("h", "c", "ord", "a")
+    # what is known to be covered goes anywhere
+    dealt = F.when(F.col("again"), F.xxhash64("ord", "a")).otherwise(F.col("h"))
+    occurrences = _occurrences(docs.select("ord", "bytes")).repartition(dealt).sortWithinPartitions("again", "h", "c", "ord", "a")
     sifted = stored(_sifted(occurrences, cap), "sifted")
     covered = sifted.filter("kind = 0").select("ord", "a", "m")
     wanted = sifted.filter("kind > 0")

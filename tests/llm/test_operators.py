@@ -492,6 +492,18 @@ def test_repeats(docs, cap):
     assert got == removed_by_hand(rows)
 
 
+def test_repeated_contexts_of_a_chunk():
+    rnd = np.random.default_rng(8)
+    h, c, o, a = (rnd.integers(-2, 3, 400).astype(np.int64) for _ in range(4))
+    a = rnd.permutation(400)
+    first = {}
+    for key in sorted(zip(h.tolist(), c.tolist(), o.tolist(), a.tolist(), strict=True)):
+        first.setdefault(key[:2], key[2:])
+    want = [first[x, y] != (z, w) for x, y, z, w in zip(h.tolist(), c.tolist(), o.tolist(), a.tolist(), strict=True)]
+    assert suffix_dedup.repeated(h, c, o, a).tolist() == want
+    assert suffix_dedup.repeated(*(np.zeros(0, np.int64) for _ in range(4))).tolist() == []
+
+
 def test_long_texts_are_cut_into_overlapping_chunks(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BITS", 9)
     monkeypatch.setattr(suffix_dedup, "_tables", {})
