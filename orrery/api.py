@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import reliability
-from .operators import clones, comments, edges, graph, rules, tables
+from .operators import clones, comments, edges, graph, references, rules, tables
 from .options import DEFAULTS, Options
 from .plans.ranking import symbol_map
-from .sources import python_code
+from .schemas import conform
+from .sources import python_code, repository
 
 
 class NotIndexed(RuntimeError):
@@ -24,7 +25,10 @@ class Project:
         self.tables = tables.Snapshots(spark, store)
 
     def files(self) -> DataFrame:
-        return python_code.scan(self.spark, self.root)
+        """All Python files below the root; in a worktree those that git shows."""
+        found = python_code.scan(self.spark, self.root)
+        visible = repository.visible_paths(self.spark, self.root)
+        return found if visible is None else found.join(visible, "path", "left_semi")
 
     def _need(self) -> dict:
         state = self.tables.state()
@@ -57,18 +61,38 @@ class Project:
         units = rows["fingerprint"]
         index = clones.fingerprint_index(units.filter(F.col("has_control_flow") & (F.col("node_count") >= self.options.min_nodes)), o=self.options, joiner="\x1f", digest=F.crc32)
         new = {
+            "imports": rows["import"], "tokens": edges.tokens(self._lines(now)),
             "files": now.select("path", "content_hash", F.unix_micros(F.current_timestamp()).cast("double").alias("at")).withColumn("indexed_at", F.col("at") / 1e6),
             "symbols": rows["symbol"], "comments": rows["comment"], "fingerprints": units, "fingerprint_index": index,
         }
+        commit = repository.commit_id(self.root)
+        if commit:
+            new["meta"] = self.spark.createDataFrame([("commit", commit)], "key string, value string")
         return self.tables.replace_files(changed, new, state["version"], removed)
 
+    def freshness(self) -> str:
+        """Whether the index is of the commit that is checked out."""
+        known = {r["key"]: r["value"] for r in self.tables.read("meta").collect()}
+        return repository.freshness(known.get("commit"), repository.commit_id(self.root))
+
     def get_symbols(self, file: str | None = None) -> DataFrame:
         s = self.tables.read("symbols")
         return s.filter(F.col("path") == file).orderBy("line") if file else s.orderBy("path", "line")
 
+    def _lines(self, files: DataFrame) -> DataFrame:
+        lines = files.select("path", F.posexplode(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)).alias("at", "txt"))
+        return lines.select("path", (F.col("at") + 1).alias("line"), "txt")
+
     def _tokens(self) -> DataFrame:
-        lines = self.files().select("path", F.posexplode(F.split("text", "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]", -1)).alias("at", "txt"))
-        return edges.tokens(lines.select("path", (F.col("at") + 1).alias("line"), "txt"))
+        return self.tables.read("tokens", self._need())
+
+    def occurrences(self, word: str) -> DataFrame:
+        """Every place of a word, with its column, in the files that have it; no cap."""
+        hit = self._tokens().filter(F.col("name") == word).select("path").distinct()
+        return references.word_occurrences(self._lines(self.files().join(hit, "path", "left_semi")), word)
+
+    def candidate_files(self, word: str) -> DataFrame:
+        return references.candidate_files(self._tokens(), word, self.options)
 
     def find_references(self, symbol: str, *, def_path: str | None = None, include_low: bool = True) -> DataFrame:
         """Occurrences of a name but for its definition line: high in its own file or where it is imported from it, else low."""
@@ -76,13 +100,14 @@ class Project:
         symbols = self.tables.read("symbols").filter((F.col("name") == symbol) & F.col("kind").isin(*self.options.referenceable))
         if def_path:
             symbols = symbols.filter(F.col("path") == def_path)
-        out = self._references(symbols.orderBy("path", "line").limit(1))
+        seed = symbols.orderBy("path", "line").limit(1)
+        out = references.name_matches(self._tokens(), symbol) if seed.isEmpty() and not def_path else self._references(seed)
         return out if include_low else out.filter("confidence = 'high'")
 
     def _references(self, definitions: DataFrame) -> DataFrame:
         """``find_references`` of many definitions (``path``, ``line``, ``name``) in one join by name."""
         defs = definitions.select("name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).distinct()
-        imports = python_code.extract(self.files())["import"].select(F.col("path").alias("ipath"), F.col("name").alias("iname"), F.substring_index("module", ".", -1).alias("stem")).distinct()
+        imports = self.tables.read("imports").select(F.col("path").alias("ipath"), F.col("name").alias("iname"), F.substring_index("module", ".", -1).alias("stem")).distinct()
         found = self._tokens().join(defs, "name").filter(~((F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line"))))
         stem = F.regexp_extract("def_path", r"([^/]+)\.py$", 1)
         joined = found.join(imports, (F.col("path") == F.col("ipath")) & (F.col("name") == F.col("iname")) & (F.col("stem") == stem), "left")
@@ -99,8 +124,6 @@ class Project:
         refs = self.find_references(symbol, def_path=def_path, include_low=False)
         same = F.col("symbol_name") == symbol
         old = self.tables.read("refs", state).filter(~(same & (F.col("def_path") == def_path) if def_path else same))
-        from .schemas import conform
-
         return self.tables.commit({"refs": conform(old, "refs").unionByName(conform(refs, "refs"))}, state["version"])
 
     def call_hierarchy(self, symbol: str, *, direction: str = "both", max_hops: int | None = None, def_path: str | None = None, build_edges: bool = True) -> DataFrame:
@@ -115,11 +138,22 @@ class Project:
                 self.build_refs(symbol, def_path=row["path"])
             state = self._need()
             symbols = self.tables.read("symbols", state)
-        return graph.hierarchy(self.tables.read("refs", state), symbols, seed, direction, max_hops or self.options.max_hops)
+        return graph.hierarchy(self.tables.read("refs", state), symbols, seed, direction, self.options.max_hops if max_hops is None else max_hops)
 
-    def impact(self, symbol: str, *, max_hops: int | None = None, def_path: str | None = None) -> DataFrame:
+    def impact(self, symbol: str, *, max_hops: int | None = None, def_path: str | None = None, with_important: bool = False) -> DataFrame:
+        """Callers by bucket; ``with_important`` marks those among the thirty symbols of most rank."""
         callers = self.call_hierarchy(symbol, direction="up", max_hops=max_hops, def_path=def_path)
-        return graph.impact(callers, entry=rules.entry_reason("path").isNotNull())
+        important = None
+        if with_important:
+            ids = F.concat_ws(":", "path", F.col("line").cast("string"), "kind")
+            important = self.get_map().join(self.get_symbols().select(ids.alias("id"), "name"), "id").select("name", "score")
+        return graph.impact(callers, important, entry=rules.entry_reason("path").isNotNull())
+
+    def definition_at(self, path: str, line: int) -> DataFrame:
+        """Where the names on a line are defined, by the references of every definition of those names."""
+        here = self._tokens().filter((F.col("path") == path) & (F.col("line") == line)).select("name").distinct()
+        found = self._references(self.tables.read("symbols").join(here, "name", "left_semi"))
+        return references.definition_at(found, path, line)
 
     def name_edges(self) -> DataFrame:
         return edges.name_edges(self._tokens(), self.tables.read("symbols", self._need()), self.options)
@@ -144,7 +178,16 @@ class Project:
         s = self.tables.read("symbols", state)
         s = s.filter(F.col("path") == scope_file) if scope_file else s
         judged = s.filter((F.col("scope") == "") & F.col("kind").isin(*self.options.referenceable) & rules.entry_reason("path").isNull())
-        return rules.orphans(s, self._references(judged), engine=F.lit("relational"), o=self.options)
+        return rules.orphans(s, self._references(judged), engine=rules.resolver("path"), scripts=repository.script_functions(self.root), o=self.options)
+
+    def deadcode_report(self, scope_file: str | None = None, *, by_name: bool = False) -> dict:
+        """Verdicts of symbols and imports, the counts of each, and what they can't see; ``by_name`` opts in to unused imports by name."""
+        symbols = self.find_deadcode(scope_file)
+        imports = self.tables.read("imports")
+        imports = imports.filter(F.col("path") == scope_file) if scope_file else imports
+        imports = rules.unused_imports(imports, self._tokens() if by_name else None)
+        counts = {r["verdict"]: r["n"] for r in rules.verdict_histogram(symbols).collect()}
+        return {"symbols": symbols, "imports": imports, "summary": counts, "advisory": rules.advisory(counts)}
 
     def find_unwired(self) -> DataFrame:
         s = self.tables.read("symbols", self._need())
@@ -155,6 +198,19 @@ class Project:
         files = self.files()
         return rules.provider_sites(files.filter(F.col("path") == scope_file) if scope_file else files)
 
+    def ai_usage_report(self, scope_file: str | None = None) -> dict[str, DataFrame]:
+        """Sites, their counts by channel, the worst channel of each file and provider, and of each provider."""
+        sites = self.find_ai_usage(scope_file)
+        return {"sites": sites, "channels": rules.site_counts(sites), "edges": rules.provider_edges(sites), "providers": rules.provider_nodes(sites)}
+
+    def describe_files(self) -> DataFrame:
+        return self.files().select("path", repository.description("path", "text").alias("description"))
+
+    def comment_report(self) -> dict[str, DataFrame]:
+        """Coverage by kind, marks by tag, and comments by file."""
+        c = self.tables.read("comments", self._need())
+        return {"coverage": self.get_comment_overview(), "tags": comments.tag_counts(c, self.options), "files": c.groupBy("path").agg(F.count(F.lit(1)).alias("n_comments"), F.sum(F.col("end_line") - F.col("line") + 1).alias("n_lines"))}
+
     def get_comment_overview(self) -> DataFrame:
         state = self._need()
         return comments.coverage(comments.documented(self.tables.read("symbols", state), self.tables.read("comments", state), self.options))
@@ -165,9 +221,14 @@ class Project:
     def get_comments(self, **tests) -> DataFrame:
         return comments.select_comments(self.tables.read("comments", self._need()), **tests)
 
-    def get_health(self) -> DataFrame:
+    def get_health(self, *, with_dead: bool = False) -> DataFrame:
+        """``with_dead`` flags the symbols that nothing refers to."""
         state = self._need()
-        return rules.health_report(self.tables.read("symbols", state), self.tables.read("fingerprints", state), o=self.options)
+        dead = self.find_deadcode().filter("verdict = 'LIKELY_UNUSED'") if with_dead else None
+        return rules.health_report(self.tables.read("symbols", state), self.tables.read("fingerprints", state), dead, self.options)
+
+    def health_coverage(self) -> DataFrame:
+        return rules.health_coverage(self.get_health(with_dead=True))
 
     def find_duplicates(self, **how) -> DataFrame:
         state = self._need()

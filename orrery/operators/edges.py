@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import IDENTIFIER, confidence_weight, quality
 from ..options import DEFAULTS, Options
+from ..runtime import stored
 
 
 def tokens(lines: DataFrame, *, lower: bool = False) -> DataFrame:
@@ -34,21 +35,38 @@ def narrow_definitions(symbols: DataFrame, o: Options = DEFAULTS) -> DataFrame:
     return symbols.join(counts, "name")
 
 
+def _bodies(symbols: DataFrame, o: Options) -> DataFrame:
+    """Narrow definitions by (``name``, ``path``, ``line``) with the end of the smallest body that starts there.
+
+    Of definitions that share their start, a line outside the smallest body is outside one of them, and only then an edge.
+    """
+    return narrow_definitions(symbols, o).groupBy("name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).agg(F.min("end_line").alias("def_end"))
+
+
 def name_edges(token_rows: DataFrame, symbols: DataFrame, o: Options = DEFAULTS) -> DataFrame:
     """Edges from lines to all definitions of the names on them, but for a definition's own body.
 
-    The fan-out cap is applied to the definitions before the join, which bounds the rows that one token can make.
+    The fan-out cap is applied to the definitions before the join, which bounds the rows that one token can make; both sides of the
+    join are distinct, so its rows are the edges and nothing is shuffled after it.
     """
-    defs = narrow_definitions(symbols, o).select("name", F.col("path").alias("def_path"), F.col("line").alias("def_line"), F.col("end_line").alias("def_end"))
     inside = (F.col("path") == F.col("def_path")) & F.col("line").between(F.col("def_line"), F.col("def_end"))
-    joined = token_rows.join(defs, "name").filter(~inside)
-    keyed = joined.groupBy(F.col("path").alias("src_path"), F.col("line").alias("src_line"), F.col("name").alias("symbol_name"), "def_path", "def_line").agg(F.max("mult").alias("multiplicity"))
-    edges = keyed.withColumn("confidence", F.lit("low"))
+    joined = token_rows.join(_bodies(symbols, o), "name").filter(~inside)
+    edges = joined.select(F.col("path").alias("src_path"), F.col("line").alias("src_line"), F.col("name").alias("symbol_name"), "def_path", "def_line", F.col("mult").alias("multiplicity"), F.lit("low").alias("confidence"))
     if o.edge_budget is not None:
         edges = edges.orderBy("src_path", "src_line", "symbol_name", "def_path", "def_line").limit(o.edge_budget)
     return edges
 
 
+def budget_reached(edges: DataFrame, o: Options = DEFAULTS) -> bool:
+    """Whether the edge budget cut the edges off."""
+    return o.edge_budget is not None and edges.count() >= o.edge_budget
+
+
+def adaptive_file_cap(n_symbols: int, o: Options = DEFAULTS) -> int:
+    """Files that a fixed amount of work allows: fewer the more symbols there are, within bounds."""
+    return max(o.least_files, min(o.file_cap, o.work_budget // max(1, n_symbols)))
+
+
 def external_usage(symbols: DataFrame, edges: DataFrame) -> DataFrame:
     """Occurrences outside its own body for every definition, 0 included."""
     used = edges.groupBy(F.col("def_path").alias("path"), F.col("def_line").alias("line"), F.col("symbol_name").alias("name")).agg(F.sum("multiplicity").alias("usage"))
@@ -63,12 +81,11 @@ def direct_usage(token_rows: DataFrame, symbols: DataFrame, o: Options = DEFAULT
     name and by (name, path) before they meet the definitions, and no edge is ever made.
     """
     by_name = token_rows.groupBy("name").agg(F.sum("mult").alias("total"))
-    defs = narrow_definitions(symbols, o).select("name", "path", "line", "end_line")
+    defs = _bodies(symbols, o).withColumnsRenamed({"def_path": "path", "def_line": "line", "def_end": "end_line"})
     own = token_rows.join(defs.select("name", "path").distinct(), ["name", "path"], "left_semi").withColumnRenamed("line", "at")
-    # tokens outside all bodies that start at the line: definitions of one name, file and line count once
-    inside = defs.join(own, ["name", "path"]).withColumn("in", F.col("at").between(F.col("line"), F.col("end_line")))
-    hidden = inside.groupBy("name", "path", "line", "at", "mult").agg(F.bool_and("in").alias("hidden")).filter("hidden").groupBy("name", "path", "line").agg(F.sum("mult").alias("own"))
-    keys = defs.select("name", "path", "line").distinct()
+    inside = defs.join(own, ["name", "path"]).filter(F.col("at").between(F.col("line"), F.col("end_line")))
+    hidden = inside.groupBy("name", "path", "line").agg(F.sum("mult").alias("own"))
+    keys = defs.select("name", "path", "line")
     narrow = keys.join(by_name, "name", "left").join(hidden, ["name", "path", "line"], "left").select("path", "line", "name", (F.coalesce("total", F.lit(0)) - F.coalesce("own", F.lit(0))).cast("long").alias("usage"))
     wide = symbols.select("path", "line", "name").distinct().join(narrow.select("path", "line", "name"), ["path", "line", "name"], "left_anti").withColumn("usage", F.lit(0).cast("long"))
     return narrow.unionByName(wide)
@@ -154,16 +171,17 @@ def sample_paths(files: DataFrame, limit: int, focus: list[str] | None = None) -
     return chosen.unionByName(ranked).withColumn("label", F.lit("stratified"))
 
 
-def positions(df: DataFrame, order: list[str], buckets: int = 0) -> DataFrame:
+def positions(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``position`` from 0 in the given order, without sorting everything in one task.
 
-    Approximate quantiles of a sort key's prefix would need a pass of their own; a hash can't keep order. The first column's
-    leading characters make ordered buckets; counts of the buckets before are added to ranks inside.
+    Rows are dealt by ranges that Spark samples, sorted inside, and stored with their partition and place in it; the sizes of the
+    partitions before are added.
     """
-    bucket = F.substring(F.col(order[0]).cast("string"), 1, 8)
-    keyed = df.withColumn("_bucket", bucket)
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy(*order)
-    return keyed.withColumn("_rank", F.row_number().over(inside) - 1).join(offsets, "_bucket").withColumn("position", F.col("_before") + F.col("_rank")).drop("_bucket", "_rank", "_before")
+    (row,) = [next(n for n in ("_row", "__row", "___row") if n not in df.columns)]
+    dealt = stored(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(row, F.monotonically_increasing_id()), "positions")
+    part = F.shiftright(row, 33)
+    counts = dealt.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    place = F.col("_before") + F.col(row).bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.join(offsets, part == F.col("_part")).withColumn("position", place).drop(row, "_part", "_before")

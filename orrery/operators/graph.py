@@ -120,6 +120,11 @@ def hierarchy(refs: DataFrame, symbols: DataFrame, seed: DataFrame, direction: s
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
+def display_order(rows: DataFrame) -> DataFrame:
+    """Callers and callees as they are shown: high ones first, then by depth and name."""
+    return rows.orderBy(F.col("confidence") != "high", "depth", "name", "path")
+
+
 def impact(callers: DataFrame, important: DataFrame | None = None, entry=None, test=None) -> DataFrame:
     """``callers`` with ``bucket`` (test, entrypoint, prod, uncertain), ``direct`` and ``important``."""
     test = test if test is not None else is_test_path("path")
@@ -128,8 +133,10 @@ def impact(callers: DataFrame, important: DataFrame | None = None, entry=None, t
     rows = callers.withColumn("bucket", bucket).withColumn("direct", F.col("depth") == 1)
     if important is None:
         return rows.withColumn("important", F.lit(False))
-    names = important.select("name").distinct().withColumn("important", F.lit(True))
-    return rows.join(F.broadcast(names.limit(30)), "name", "left").withColumn("important", F.coalesce("important", F.lit(False)))
+    # the thirty names of most score
+    best = important.groupBy("name").agg(F.max("score").alias("score")) if "score" in important.columns else important.select("name", F.lit(0.0).alias("score")).distinct()
+    names = best.orderBy(F.desc("score"), "name").limit(30).select("name", F.lit(True).alias("important"))
+    return rows.join(F.broadcast(names), "name", "left").withColumn("important", F.coalesce("important", F.lit(False)))
 
 
 def impact_summary(rows: DataFrame) -> DataFrame:

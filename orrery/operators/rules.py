@@ -24,7 +24,7 @@ def decorated_entry(decorators: Column | str) -> Column:
     return F.exists(S.col(decorators), lambda d: d.rlike(verbs) | head(d).isin(*ENTRY_BARE))
 
 
-def orphans(symbols: DataFrame, refs: DataFrame, *, engine: Column, o: Options = DEFAULTS) -> DataFrame:
+def orphans(symbols: DataFrame, refs: DataFrame, *, engine: Column, scripts: set[str] = frozenset(), o: Options = DEFAULTS) -> DataFrame:
     """Top-level referenceable symbols with the verdict of their references (``reexport`` marks re-exports among high ones)."""
     top = symbols.filter((F.col("scope") == "") & F.col("kind").isin(*o.referenceable))
     reexport = F.col("reexport") if "reexport" in refs.columns else F.lit(False)
@@ -34,13 +34,65 @@ def orphans(symbols: DataFrame, refs: DataFrame, *, engine: Column, o: Options =
     rows = top.join(sums, ["path", "line"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("high", "reexports", "low")})
     entry = entry_reason("path").isNotNull()
     if "decorators" in symbols.columns:
-        entry = entry | decorated_entry("decorators")
+        entry = entry | F.coalesce(decorated_entry("decorators"), F.lit(False))
     if "exported" in symbols.columns:
         entry = entry | F.coalesce("exported", F.lit(False))
+    if scripts:
+        entry = entry | F.col("name").isin(*sorted(scripts))
     verdict = S.orphan_verdict(entry, engine, F.lit(False), F.lit(True), F.col("high"), F.col("reexports"))
     return rows.select("path", "line", "name", "kind", "high", "low", verdict.alias("verdict"))
 
 
+#: Extensions that references can be resolved for here.
+RESOLVERS = {".py": "relational"}
+
+
+def resolver(path: Column | str) -> Column:
+    """The engine that resolves a file's references; ``none`` where there is none."""
+    lookup = F.create_map(*(F.lit(x) for kv in RESOLVERS.items() for x in kv))
+    return F.coalesce(lookup[S.extension(path)], F.lit("none"))
+
+
+def verdict_histogram(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``verdict`` and ``n``: one row each, by group if asked."""
+    return rows.groupBy(*by, "verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def unused_imports(imports: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """(``path``, ``line``, ``name``, ``verdict``): no linter is at hand, so the verdict is UNKNOWN_NO_LINTER.
+
+    With ``tokens`` (the opt-in) imports whose alias occurs once only in their file, where it is imported, are UNUSED_BY_NAME: a
+    statement about names, not about meaning. Re-exports are not told apart.
+    """
+    name = F.substring_index(F.coalesce("alias", "name", "module"), ".", 1)
+    rows = imports.select("path", "line", name.alias("name"))
+    if tokens is None:
+        return rows.withColumn("verdict", F.lit("UNKNOWN_NO_LINTER"))
+    uses = tokens.groupBy("path", "name").agg(F.sum("mult").alias("uses"))
+    joined = rows.join(uses, ["path", "name"], "left")
+    return joined.select("path", "line", "name", F.when(F.coalesce("uses", F.lit(0)) <= 1, "UNUSED_BY_NAME").otherwise("KEEP").alias("verdict"))
+
+
+def advisory(histogram: dict[str, int]) -> list[str]:
+    """What the counts of verdicts can't see, one sentence each."""
+    said = []
+    if n := histogram.get("UNKNOWN_NO_RESOLVER", 0):
+        said.append(f"{n} symbols are in languages without a resolver here; nothing is known of their use.")
+    if n := histogram.get("UNKNOWN_UNRESOLVED", 0):
+        said.append(f"{n} symbols could not be resolved.")
+    if n := histogram.get("LIKELY_UNUSED", 0):
+        said.append(f"{n} symbols have no reference; calls by reflection, by configuration or from outside are not seen.")
+    if n := histogram.get("REEXPORT_ONLY", 0):
+        said.append(f"{n} symbols are only exported again.")
+    return said
+
+
+def health_coverage(report: DataFrame) -> DataFrame:
+    """One row: symbols, those with a health, their share, and the dead ones."""
+    counts = report.agg(F.count(F.lit(1)).alias("total"), F.count("health").alias("covered"), F.count_if("dead").alias("dead"))
+    return counts.select("total", "covered", F.when(F.col("total") == 0, F.lit(0.0)).otherwise(F.round(F.col("covered") / F.col("total"), 3)).alias("coverage"), "dead")
+
+
 def health_report(symbols: DataFrame, fingerprints: DataFrame, dead: DataFrame | None = None, o: Options = DEFAULTS) -> DataFrame:
     """Symbols with ``health``; duplicates are counted over all fingerprints, with no gate."""
     shapes = fingerprints.groupBy("shape_hash").agg(F.count(F.lit(1)).alias("shape_count"))
@@ -101,6 +153,11 @@ def provider_edges(sites: DataFrame) -> DataFrame:
     return sites.groupBy("path", "provider").agg(F.max_by("channel", rank).alias("channel"), F.count(F.lit(1)).alias("n_sites"))
 
 
+def site_counts(sites: DataFrame) -> DataFrame:
+    """Call sites by channel."""
+    return sites.groupBy("channel").agg(F.count(F.lit(1)).alias("n_sites"), F.countDistinct("path").alias("n_files"))
+
+
 def provider_nodes(sites: DataFrame) -> DataFrame:
     rank = F.create_map(*(F.lit(x) for kv in SEVERITY.items() for x in kv))[F.col("channel")]
     return sites.groupBy("provider").agg(F.max_by("channel", rank).alias("channel"), F.countDistinct("path").alias("n_files"), F.count(F.lit(1)).alias("n_sites"))

@@ -1,20 +1,28 @@
 """Versioned Parquet snapshots of the stored relations: hash diff, replacement of files, a fence against stale writers.
 
-A version is a folder that is never changed; a small file names the current one and is moved into place in one step. Readers
-keep the version they opened. A writer states the version it read; if another one was committed since, it is refused.
+The files of a version are never changed; each version has a small file of its own number that names its tables, and the largest
+complete one counts. No older file is touched, so readers always find a version and keep the one they opened. A writer states the
+version it read and creates the next file, which only one can; any other is refused.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import OWNERS, TABLES, conform
 
 
+#: Seconds after which a version file that is not complete was left by a writer that is gone.
+ABANDONED_S = 60
+
+
 class StaleVersion(RuntimeError):
     """The tables changed after the writer read them."""
 
@@ -27,12 +35,29 @@ class Snapshots:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _numbers(self) -> list[int]:
+        folder, fs = self._fs(self.root)
+        if not fs.exists(folder):
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(folder))
+        return sorted((int(m[1]) for n in names if (m := re.fullmatch(r"VERSION-(\d{12})", n))), reverse=True)
+
+    def _read_version(self, number: int) -> dict | None:
+        """What the version file says; null if it is not complete."""
+        try:
+            return json.loads("".join(r[0] for r in self.spark.read.text(self._version_file(number)).collect()))
+        except json.JSONDecodeError:
+            return None
+
     def state(self) -> dict:
-        path, fs = self._fs(f"{self.root}/CURRENT")
-        if not fs.exists(path):
-            return {"version": 0, "tables": {}}
-        lines = [r[0] for r in self.spark.read.text(f"{self.root}/CURRENT").collect()]
-        return json.loads("".join(lines))
+        """The newest version that is complete."""
+        for number in self._numbers():
+            if found := self._read_version(number):
+                return found
+        return {"version": 0, "tables": {}}
+
+    def _version_file(self, number: int) -> str:
+        return f"{self.root}/VERSION-{number:012d}"
 
     @property
     def version(self) -> int:
@@ -56,15 +81,30 @@ class Snapshots:
         now = self.state()
         if now["version"] != expected:
             raise StaleVersion(f"version is {now['version']}, not {expected}")
-        path, fs = self._fs(f"{self.root}/CURRENT.{uuid.uuid4().hex}")
-        out = fs.create(path, True)
-        out.write(bytearray(json.dumps({"version": expected + 1, "tables": folders}), "utf-8"))
-        out.close()
-        current, _ = self._fs(f"{self.root}/CURRENT")
-        fs.delete(current, False)
-        if not fs.rename(path, current):
-            raise OSError("the version file could not be moved")
-        return expected + 1
+        number = expected + 1
+        while True:
+            path, fs = self._fs(self._version_file(number))
+            try:
+                # of several writers one creates the file
+                out = fs.create(path, False)
+            except Py4JJavaError as error:
+                if not fs.exists(path):
+                    raise
+                writing = self._read_version(number) is not None or time.time() - fs.getFileStatus(path).getModificationTime() / 1000 < ABANDONED_S
+                if writing:
+                    raise StaleVersion(f"version {number} was written by another one") from error
+                number += 1
+                continue
+            out.write(bytearray(json.dumps({"version": number, "tables": folders}), "utf-8"))
+            out.close()
+            return number
+
+    def replace(self, table: str, paths: DataFrame, rows: DataFrame, expected: int) -> int:
+        """The rows of some files in one table only; all other tables stay as they are."""
+        old = self.read(table)
+        for owner in OWNERS[table]:
+            old = old.join(paths.select(F.col("path").alias(owner)).distinct(), owner, "left_anti")
+        return self.commit({table: conform(old, table).unionByName(conform(rows, table))}, expected)
 
     def replace_files(self, changed: DataFrame, new: dict[str, DataFrame], expected: int, removed: DataFrame | None = None) -> int:
         """Rows of changed and removed paths go (references at either end), new rows come, as one version."""
@@ -77,6 +117,7 @@ class Snapshots:
             for owner in owners:
                 old = old.join(gone.withColumnRenamed("path", owner), owner, "left_anti")
             out[name] = conform(old, name).unionByName(conform(new[name], name)) if name in new else conform(old, name)
+        out |= {name: df for name, df in new.items() if name not in OWNERS}
         return self.commit(out, expected)
 
     def replace_refs(self, src_path: str, symbol: str | None, refs: DataFrame, expected: int) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 
 
 @dataclass(frozen=True)
@@ -58,4 +58,21 @@ class Options:
             object.__setattr__(self, "min_similarity", min(1.0, max(0.0, self.min_similarity)) if self.min_similarity == self.min_similarity else 0.8)
 
 
+    @classmethod
+    def from_env(cls, env: dict[str, str], prefix: str = "ORRERY_") -> Options:
+        """Numbers from variables such as ``ORRERY_MAX_HOPS``; what is missing, no number or NaN keeps the default."""
+        found = {}
+        for f in fields(cls):
+            raw = env.get(prefix + f.name.upper())
+            if raw is None or not isinstance(f.default, int | float):
+                continue
+            try:
+                value = type(f.default)(raw)
+            except ValueError:
+                continue
+            if value == value:
+                found[f.name] = value
+        return cls(**found)
+
+
 DEFAULTS = Options()

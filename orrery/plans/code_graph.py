@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import orphan_verdict, reliability
-from ..operators import edges, tables
+from ..operators import edges, references, rules, tables
 from ..sources import corpus
 from ..sources.corpus import table, with_views
-from .catalog import query
+from .catalog import ORACLES, query
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,6 +150,38 @@ def orphan_verdict_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", "line", "name", "kind", "high", "low", verdict.alias("verdict"))
 
 
+@query(f"SELECT verdict, count(*) AS n FROM ({ORACLES['orphan_verdict_blocks']}) GROUP BY 1")
+def verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many blocks have each verdict."""
+    return rules.verdict_histogram(orphan_verdict_blocks(spark, sf_dir))
+
+
+_WORD = "the"
+
+
+@query(
+    with_views("lines")
+    + rf""", p AS (SELECT path, line, regexp_split_to_array(txt, '\b{_WORD}\b') AS pieces FROM lines),
+ q AS (SELECT path, line, pieces, unnest(range(1, len(pieces))) AS i FROM p WHERE len(pieces) > 1)
+SELECT path, line, (list_sum(list_transform(pieces[1:i], lambda x: length(x))) + (i - 1) * {len(_WORD)})::INT AS col FROM q"""
+)
+def word_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every occurrence of one word, with its column."""
+    return references.word_occurrences(corpus.lines(_docs(spark, sf_dir)), _WORD)
+
+
+@query(with_views("tokens") + f", f AS (SELECT DISTINCT path FROM tokens WHERE name = '{_WORD}') SELECT path, (SELECT count(*) FROM f) > 400 AS truncated FROM f ORDER BY path LIMIT 400")
+def candidate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 400 files that have the word, and whether there are more: the prefilter of an interactive call."""
+    return references.candidate_files(corpus.tokens(_docs(spark, sf_dir)), _WORD)
+
+
+@query(with_views("refs_demo") + " SELECT symbol_name, count(DISTINCT (def_path, def_line)) AS definitions, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'low') AS low, count(DISTINCT src_path) AS files FROM refs_demo GROUP BY 1")
+def reference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions, references and files of every name."""
+    return references.reference_summary(corpus.refs_demo(_docs(spark, sf_dir)))
+
+
 @query(
     with_views("refs_demo")
     + """, r AS (SELECT symbol_name AS name, count(*) FILTER (confidence = 'high') AS high, count(*) FILTER (confidence = 'low') AS low, count(*) FILTER (def_path LIKE 'src7/%') AS foreign_defs FROM refs_demo GROUP BY 1)

@@ -11,15 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_folders: set[str] = set()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder is set only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """This application's folder in ``spark.checkpoint.dir``; it is deleted when the driver ends.
+
+    Only on a local master, where the session names none, a temporary folder is set.
+    """
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = context.getCheckpointDir() or tempfile.mkdtemp(prefix="orrery-checkpoint-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="orrery-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
-    return named.rstrip("/")
+    folder = f"{named.rstrip('/')}/orrery-{context.applicationId}"
+    if folder not in _folders:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _folders.add(folder)
+    return folder
 
 
 def stored(df: DataFrame, label: str = "table") -> DataFrame:

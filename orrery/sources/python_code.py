@@ -19,18 +19,17 @@ from pyspark.sql import functions as F
 
 from ..functions.rule_tables import SKIP_DIRS
 from ..operators.comments import first_tag
-from ..runtime import ship
-from ..schemas import COMMENTS, FINGERPRINTS, SYMBOLS
+from ..runtime import ship, stored
+from ..schemas import COMMENTS, FINGERPRINTS, IMPORTS, SYMBOLS
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
 _FLOW = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match, ast.IfExp)
-IMPORTS = "path string, module string, name string, alias string, line int"
-ROWS = {"symbol": SYMBOLS + ", decorators array<string>", "comment": COMMENTS, "fingerprint": FINGERPRINTS + ", tokens array<string>", "import": IMPORTS}
+ROWS = {"symbol": SYMBOLS, "comment": COMMENTS, "fingerprint": FINGERPRINTS + ", tokens array<string>", "import": IMPORTS}
 
 
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".py",)) -> DataFrame:
-    """(``path`` relative to the root, ``text``, ``content_hash``) of the files below ``root``; skipped directories are left out."""
+    """(``path`` relative to the root, ``text``, ``content_hash``) of the files below ``root``; skipped directories are left out, and so are empty files, which the reader passes over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/") + "/"
     path = F.substring_index(F.regexp_replace("path", r"^[a-z]+:/*", "/"), prefix, -1)
@@ -148,6 +147,7 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, dict]]:
         marks = list(tokenize.generate_tokens(io.StringIO(text).readline))
     except (SyntaxError, ValueError, tokenize.TokenError, RecursionError):
         return
+    exported = {e.value for n in tree.body if isinstance(n, ast.Assign | ast.AugAssign | ast.AnnAssign) for t in (n.targets if isinstance(n, ast.Assign) else [n.target]) if isinstance(t, ast.Name) and t.id == "__all__" for e in getattr(n.value, "elts", ()) if isinstance(e, ast.Constant)}
     skip = (tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)
     words = [(t.start[0], t.string) for t in marks if t.type not in skip and t.string.strip()]
 
@@ -164,7 +164,7 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, dict]]:
             if isinstance(n, (*_DEFS, ast.ClassDef)):
                 is_class = isinstance(n, ast.ClassDef)
                 decorators = ["@" + ast.unparse(d) for d in n.decorator_list]
-                yield "symbol", {"path": path, "kind": "class" if is_class else "function", "name": n.name, "line": n.lineno, "end_line": n.end_lineno, "scope": scope, "decorators": decorators}
+                yield "symbol", {"path": path, "kind": "class" if is_class else "function", "name": n.name, "line": n.lineno, "end_line": n.end_lineno, "scope": scope, "decorators": decorators, "exported": not scope and n.name in exported}
                 own = f"{scope}.{n.name}" if scope else n.name
                 yield from docstring(n, own, n.lineno)
                 if not is_class:
@@ -173,7 +173,7 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, dict]]:
             elif isinstance(n, ast.Assign | ast.AnnAssign) and not scope:
                 targets = n.targets if isinstance(n, ast.Assign) else [n.target]
                 if len(targets) == 1 and isinstance(targets[0], ast.Name):
-                    yield "symbol", {"path": path, "kind": "variable", "name": targets[0].id, "line": n.lineno, "end_line": n.end_lineno, "scope": "", "decorators": []}
+                    yield "symbol", {"path": path, "kind": "variable", "name": targets[0].id, "line": n.lineno, "end_line": n.end_lineno, "scope": "", "decorators": [], "exported": targets[0].id in exported}
             else:
                 for part in ("body", "orelse", "finalbody", "handlers"):
                     below = getattr(n, part, None)
@@ -195,7 +195,7 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, dict]]:
 
 
 def extract(files: DataFrame) -> dict[str, DataFrame]:
-    """``symbol``, ``comment``, ``fingerprint`` and ``import`` rows of (``path``, ``text``): one pass of the parser, told apart by type."""
+    """``symbol``, ``comment``, ``fingerprint`` and ``import`` rows of (``path``, ``text``): one pass of the parser, stored, told apart by type."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,7 +203,7 @@ def extract(files: DataFrame) -> dict[str, DataFrame]:
             yield pd.DataFrame(out, columns=["kind", "row"])
 
     ship(files.sparkSession)
-    tagged = files.select("path", "text").mapInPandas(run, "kind string, row string")
+    tagged = stored(files.select("path", "text").mapInPandas(run, "kind string, row string"), "extracted")
     out = {k: tagged.filter(F.col("kind") == k).select(F.from_json("row", schema).alias("r")).select("r.*") for k, schema in ROWS.items()}
     out["comment"] = out["comment"].withColumn("tag", first_tag("text"))
     return out
