@@ -2,6 +2,12 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's ``docs``; all but the last return the columns of ``documents``. A stage works on all rows its predecessor kept.
+
+Defined results. A null text counts as empty: it is scored like one, all such rows are copies of each other, and the one that
+stays has no token. Without labels every document scores 0.5 and stays; without a benchmark nothing is contaminated. Of equal or
+near texts one row stays: the smallest id, a null id after all others, and of rows with one id the one numbered first. Rows are
+never told apart by their id alone, so repeated ids do no harm. Empty tables give an empty result. Further columns, whatever their
+names, pass through all stages but the last.
 """
 
 from __future__ import annotations

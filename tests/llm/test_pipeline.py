@@ -6,7 +6,7 @@ import random
 import corpus_pipeline
 from orrery.llm import quality
 from orrery.llm.queries import ORACLE_SQL, QUERIES
-from test_operators import bare, components_by_hand, words
+from test_operators import ODD, SCHEMA, bare, components_by_hand, words
 
 
 def test_stages_are_the_agreed_ones():
@@ -45,3 +45,36 @@ def test_pipeline(spark, tmp_path):
     want = {i: (library.encode_ordinary(t or ""), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in left}
     got = {r["doc_id"]: (r["ids"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want and 183 not in got and len({180, 181, 3} & set(got)) == 1
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    for name, rows in (("odd", ODD), ("empty", [])):
+        path = f"{tmp_path}/{name}"
+        docs = spark.createDataFrame(rows, SCHEMA)
+        docs.write.parquet(f"{path}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+        now = spark.read.parquet(f"{path}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, path)
+            assert now.columns == docs.columns and [f.dataType for f in now.schema] == [f.dataType for f in docs.schema]
+        got = sorted(r["decoded_sha256"] for r in corpus_pipeline.run(spark, path).collect())
+        # one row of each text but for white space; nothing is near to anything else
+        texts = {bare(t): t or "" for _, t, *_ in rows}
+        assert got == sorted(hashlib.sha256(t.encode()).hexdigest() for t in texts.values())
+
+
+def test_stages_keep_clashing_columns(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(2)
+    docs = spark.createDataFrame([(i, words(rnd, 30), "en", "a", 1) for i in range(8)], SCHEMA)
+    for c in ("row", "id", "node", "stats", "score", "row_number", "text_bytes", "comp", "name", "level", "kk", "item_id"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(rnd, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[1:-1]:
+        now = stage(spark, now, str(tmp_path))
+    assert sorted(map(tuple, now.collect()), key=lambda r: r[0]) == sorted(map(tuple, docs.collect()), key=lambda r: r[0])
