@@ -73,19 +73,24 @@ def teleport(symbols: DataFrame, focus_names: list[str] = (), focus_files: list[
     return symbols.withColumn("weight", weight)
 
 
+def walkable(refs: DataFrame, symbols: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """References and symbols as every hop reads them: slim, distinct and stored."""
+    r = refs.select("src_path", "src_line", "symbol_name", "def_path", (F.col("confidence") == "high").alias("edge_high")).distinct()
+    return stored(r, "refs"), stored(symbols.select("name", "path", "line", "end_line"), "symbols")
+
+
 def traverse(refs: DataFrame, symbols: DataFrame, seed: DataFrame, direction: str = "up", max_hops: int = DEFAULTS.max_hops) -> DataFrame:
     """(``name``, ``path``, ``line``, ``depth``, ``confidence``) reached from the ``seed`` (``name``, ``path``) symbols.
 
     Upwards every symbol whose body holds the referring line is a caller (all enclosing ones); downwards callees match by path
     and name. Only a step to the same name and path is left out, so in a cycle the seed comes back. A node is high if one path
-    of high edges reaches it. The loop keeps distinct frontiers and stops when one is empty.
+    of high edges reaches it. The loop keeps distinct frontiers and stops when one is empty. ``refs`` and ``symbols`` may be a result
+    of ``walkable``; otherwise that is made first.
     """
     if direction not in ("up", "down"):
         raise ValueError(f"unknown direction: {direction}")
     cols = ["name", "path", "line", "end_line", "high"]
-    # both are read in every hop: stored once, slim
-    sym = stored(symbols.select("name", "path", "line", "end_line"), "symbols")
-    r = stored(refs.select("src_path", "src_line", "symbol_name", "def_path", (F.col("confidence") == "high").alias("edge_high")).distinct(), "refs")
+    r, sym = (refs, symbols) if "edge_high" in refs.columns else walkable(refs, symbols)
     frontier = stored(sym.join(seed.select("name", "path").distinct(), ["name", "path"]).withColumn("high", F.lit(True)).select(*cols).distinct(), "frontier")
     levels: list[DataFrame] = []
     for depth in range(1, max_hops + 1):
@@ -116,6 +121,8 @@ def hierarchy(refs: DataFrame, symbols: DataFrame, seed: DataFrame, direction: s
     """Callers and callees with a ``direction`` column."""
     if direction not in ("up", "down", "both"):
         raise ValueError(f"unknown direction: {direction}")
+    if "edge_high" not in refs.columns:
+        refs, symbols = walkable(refs, symbols)
     parts = [traverse(refs, symbols, seed, d, max_hops).withColumn("direction", F.lit(d)) for d in (("up", "down") if direction == "both" else (direction,))]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
