@@ -48,12 +48,23 @@ class Project:
         diff.unpersist()
         return counts
 
-    def index_paths(self, paths: list[str]) -> int:
-        """Index a set of changed paths: files, directories (all below them) or what is gone; returns the version."""
-        state = self.tables.state()
-        hit = lambda c: F.exists(F.array(*map(F.lit, paths)), lambda p: (c == p) | c.startswith(F.concat(p, F.lit("/"))))
-        now = self.files().filter(hit(F.col("path")))
-        old = self.tables.read("files", state).filter(hit(F.col("path"))).select("path")
+    def index_paths(self, paths: list[str] | DataFrame) -> int:
+        """Index changed paths (a list, or a table with ``path``): files, directories (all below them) or what is gone; returns the version.
+
+        Files meet the paths by their own folders, one equality join however many paths there are.
+        """
+        state = self._need() if self.tables.version else self.tables.state()
+        asked = paths.select("path") if isinstance(paths, DataFrame) else self.spark.createDataFrame([(p,) for p in paths], "path string")
+        asked = asked.select(F.regexp_replace("path", "/+$", "").alias("prefix")).distinct()
+        parts = F.split("path", "/")
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+
+        def hit(files: DataFrame) -> DataFrame:
+            found = files.select("path", F.explode(prefixes).alias("prefix")).join(asked, "prefix").select("path").distinct()
+            return files.join(found, "path", "left_semi")
+
+        now = hit(self.files())
+        old = hit(self.tables.read("files", state)).select("path")
         return self._write(now, now.select("path"), old.join(now, "path", "left_anti"), state)
 
     def _write(self, now: DataFrame, changed: DataFrame, removed: DataFrame, state: dict) -> int:

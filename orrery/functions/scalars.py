@@ -34,6 +34,14 @@ def squeezed(text: Column | str, most: int = 140) -> Column:
     return F.substring(F.trim(F.regexp_replace(col(text), r"\s+", " ")), 1, most)
 
 
+def script_safe_json(value: Column | str) -> Column:
+    """JSON of a struct, map or array that may stand inside a script element of a page."""
+    out = F.to_json(col(value))
+    for c in "<>&\u2028\u2029":
+        out = F.replace(out, F.lit(c), F.lit(f"\\u{ord(c):04x}"))
+    return out
+
+
 def symbol_id(path: Column | str = "path", scope: Column | str = "scope", name: Column | str = "name", line: Column | str = "line") -> Column:
     return F.concat_ws("::", col(path), col(scope), col(name), col(line).cast("string"))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..options import DEFAULTS, Options
+
 
 def running_total(df: DataFrame, value: str, order: list[str], bucket) -> DataFrame:
     """``df`` with ``running``, the total of ``value`` up to the row in the order.
@@ -29,3 +31,20 @@ def evictions(usage: DataFrame, quota: int, ratio: float, *, bucket) -> DataFram
     # what is left before this row goes is still over the target
     left = F.col("total") - (F.col("running") - F.col("bytes"))
     return rows.withColumn("evict", over & (left > target)).drop("total")
+
+
+def prune_reason(now: Column, o: Options = DEFAULTS) -> Column:
+    """Why a cached group (``path_exists``, ``last_access`` timestamp) goes whatever the quota: ``missing`` or ``idle``; null if it stays."""
+    age = F.unix_timestamp(now) - F.unix_timestamp("last_access")
+    return F.when(~F.col("path_exists") & (age > o.missing_days * 86_400), "missing").when(age > o.idle_days * 86_400, "idle")
+
+
+def idle(states: DataFrame, now: Column, o: Options = DEFAULTS) -> DataFrame:
+    """States (``last_access`` timestamp, ``busy``) that nobody has used for the time to live; a busy one is never idle."""
+    return states.filter(~F.coalesce("busy", F.lit(False)) & (F.unix_timestamp(now) - F.unix_timestamp("last_access") > o.idle_ttl_s))
+
+
+def aged_order(waiting: DataFrame, now: Column, ageing_s: int, most: int) -> DataFrame:
+    """Waiting calls (``priority``, ``since`` timestamp, ``ticket``) as they are served: priority grows with the wait up to ``most``; then by ticket."""
+    waited = F.floor((F.unix_timestamp(now) - F.unix_timestamp("since")) / ageing_s)
+    return waiting.withColumn("effective", F.least(F.col("priority") + F.greatest(waited, F.lit(0)), F.greatest(F.col("priority"), F.lit(most)))).orderBy(F.desc("effective"), "ticket")

@@ -157,3 +157,16 @@ def stats(tables: dict[str, DataFrame]) -> DataFrame:
 def latest(df: DataFrame, key: str, order: list[str], columns: list[str]) -> DataFrame:
     """The last row of each key: upsert semantics by one aggregation with map-side combine."""
     return df.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(key, "r.*")
+
+
+def listing(spark: SparkSession, stores: dict[str, str]) -> DataFrame:
+    """(``project``, ``version``, ``files``, ``symbols``, ``error``) of several stores, from each one's version and row counts; a store that can't be read is a row with its error."""
+    rows = []
+    for project, root in sorted(stores.items()):
+        try:
+            t = Snapshots(spark, root)
+            state = t.state()
+            rows.append((project, state["version"], t.read("files", state).count(), t.read("symbols", state).count(), None))
+        except Exception as error:
+            rows.append((project, None, None, None, type(error).__name__))
+    return spark.createDataFrame(rows, "project string, version long, files long, symbols long, error string")
