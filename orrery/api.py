@@ -13,6 +13,7 @@ from .options import DEFAULTS, Options
 from .plans.ranking import symbol_map
 from .schemas import conform
 from .sources import python_code, repository
+from .sources.lexer import ALL_SUFFIXES
 
 
 class NotIndexed(RuntimeError):
@@ -25,8 +26,8 @@ class Project:
         self.tables = tables.Snapshots(spark, store)
 
     def files(self) -> DataFrame:
-        """All Python files below the root; in a worktree those that git shows."""
-        found = python_code.scan(self.spark, self.root)
+        """All source files below the root; in a worktree those that git shows."""
+        found = python_code.scan(self.spark, self.root, ALL_SUFFIXES)
         visible = repository.visible_paths(self.spark, self.root)
         return found if visible is None else found.join(visible, "path", "left_semi")
 
@@ -106,12 +107,12 @@ class Project:
         return references.candidate_files(self._tokens(), word, self.options)
 
     def find_references(self, symbol: str, *, def_path: str | None = None, include_low: bool = True) -> DataFrame:
-        """Occurrences of a name but for its definition line: high in its own file or where it is imported from it, else low."""
+        """Occurrences of a name but for its definition line: high in its own file or where it is imported from it, else low.
+
+        Definitions in languages without a resolver are matched by name only: low everywhere.
+        """
         self._need()
-        symbols = self.tables.read("symbols").filter((F.col("name") == symbol) & F.col("kind").isin(*self.options.referenceable))
-        if def_path:
-            symbols = symbols.filter(F.col("path") == def_path)
-        seed = symbols.orderBy("path", "line").limit(1)
+        seed = self._definition(symbol, def_path)
         out = references.name_matches(self._tokens(), symbol) if seed.isEmpty() and not def_path else self._references(seed)
         return out if include_low else out.filter("confidence = 'high'")
 
@@ -122,10 +123,20 @@ class Project:
         found = self._tokens().join(defs, "name").filter(~((F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line"))))
         stem = F.regexp_extract("def_path", r"([^/]+)\.py$", 1)
         joined = found.join(imports, (F.col("path") == F.col("ipath")) & (F.col("name") == F.col("iname")) & (F.col("stem") == stem), "left")
-        high = (F.col("path") == F.col("def_path")) | F.col("ipath").isNotNull()
+        high = ((F.col("path") == F.col("def_path")) | F.col("ipath").isNotNull()) & (rules.resolver("def_path") != "none")
         return joined.select(F.col("path").alias("src_path"), F.col("line").alias("src_line"), F.col("name").alias("symbol_name"), "def_path", "def_line", F.when(high, "high").otherwise("low").alias("confidence"), F.col("mult").alias("multiplicity")).distinct()
 
+    def _definition(self, symbol: str, def_path: str | None = None) -> DataFrame:
+        """The first definition of a name that references can point at."""
+        symbols = self.tables.read("symbols").filter((F.col("name") == symbol) & F.col("kind").isin(*self.options.referenceable))
+        return (symbols.filter(F.col("path") == def_path) if def_path else symbols).orderBy("path", "line").limit(1)
+
     def reference_level(self, symbol: str) -> str:
+        """How far the references of a name can be trusted; low where its language has no resolver or nothing defines it."""
+        self._need()
+        known = self._definition(symbol).select(rules.resolver("path").alias("engine")).first()
+        if known is None or known["engine"] == "none":
+            return "low"
         r = self.find_references(symbol).agg(F.count_if(F.col("confidence") == "high").alias("high"), F.count_if(F.col("confidence") == "low").alias("low"))
         return r.select(reliability(F.lit("relational"), F.lit(True), F.col("high"), F.col("low"))).first()[0]
 

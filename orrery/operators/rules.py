@@ -44,7 +44,7 @@ def orphans(symbols: DataFrame, refs: DataFrame, *, engine: Column, scripts: set
 
 
 #: Extensions that references can be resolved for here.
-RESOLVERS = {".py": "relational"}
+RESOLVERS = {".py": "relational", ".pyi": "relational"}
 
 
 def resolver(path: Column | str) -> Column:

@@ -1,6 +1,7 @@
-"""Symbols, comments, imports and fingerprints of Python files; a file is parsed once and gives all its rows.
+"""Symbols, comments, imports and fingerprints of source files; a file is parsed once and gives all its rows.
 
-Other languages have no parser here: their files give no rows, and verdicts about them stay UNKNOWN.
+Python is parsed; the fifteen other languages are read by their tokens (``lexed_code``) and give no imports. Verdicts about them
+stay UNKNOWN, as no resolver is at hand.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from ..functions.rule_tables import SKIP_DIRS
 from ..operators.comments import first_tag
 from ..runtime import ship, stored
+from . import lexed_code
+from .lexer import language_of
 from ..schemas import COMMENTS, FINGERPRINTS, IMPORTS, SYMBOLS
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -194,12 +197,21 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, dict]]:
                 yield "import", {"path": path, "module": a.name, "name": None, "alias": a.asname or a.name, "line": n.lineno}
 
 
+def file_rows(path: str, text: str) -> Iterator[tuple[str, dict]]:
+    """(row type, row) of one file in any language; a suffix of no language gives nothing."""
+    name = language_of(path)
+    if name == "python":
+        yield from rows_of(path, text)
+    elif name is not None:
+        yield from lexed_code.rows_of(path, text, name)
+
+
 def extract(files: DataFrame) -> dict[str, DataFrame]:
     """``symbol``, ``comment``, ``fingerprint`` and ``import`` rows of (``path``, ``text``): one pass of the parser, stored, told apart by type."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(kind, json.dumps(row)) for path, text in zip(batch["path"], batch["text"], strict=True) for kind, row in rows_of(path, text or "")]
+            out = [(kind, json.dumps(row)) for path, text in zip(batch["path"], batch["text"], strict=True) for kind, row in file_rows(path, text or "")]
             yield pd.DataFrame(out, columns=["kind", "row"])
 
     ship(files.sparkSession)
