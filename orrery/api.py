@@ -107,7 +107,7 @@ class Project:
         return references.candidate_files(self._tokens(), word, self.options)
 
     def find_references(self, symbol: str, *, def_path: str | None = None, include_low: bool = True) -> DataFrame:
-        """Occurrences of a name but for its definition line: high in its own file or where it is imported from it, else low.
+        """Occurrences of a name but for its definition line: high in its own file or where an import binds it, else low.
 
         Definitions in languages without a resolver are matched by name only: low everywhere.
         """
@@ -116,15 +116,9 @@ class Project:
         out = references.name_matches(self._tokens(), symbol) if seed.isEmpty() and not def_path else self._references(seed)
         return out if include_low else out.filter("confidence = 'high'")
 
-    def _references(self, definitions: DataFrame) -> DataFrame:
+    def _references(self, definitions: DataFrame, *, low: bool = True) -> DataFrame:
         """``find_references`` of many definitions (``path``, ``line``, ``name``) in one join by name."""
-        defs = definitions.select("name", F.col("path").alias("def_path"), F.col("line").alias("def_line")).distinct()
-        imports = self.tables.read("imports").select(F.col("path").alias("ipath"), F.col("name").alias("iname"), F.substring_index("module", ".", -1).alias("stem")).distinct()
-        found = self._tokens().join(defs, "name").filter(~((F.col("path") == F.col("def_path")) & (F.col("line") == F.col("def_line"))))
-        stem = F.regexp_extract("def_path", r"([^/]+)\.py$", 1)
-        joined = found.join(imports, (F.col("path") == F.col("ipath")) & (F.col("name") == F.col("iname")) & (F.col("stem") == stem), "left")
-        high = ((F.col("path") == F.col("def_path")) | F.col("ipath").isNotNull()) & (rules.resolver("def_path") != "none")
-        return joined.select(F.col("path").alias("src_path"), F.col("line").alias("src_line"), F.col("name").alias("symbol_name"), "def_path", "def_line", F.when(high, "high").otherwise("low").alias("confidence"), F.col("mult").alias("multiplicity")).distinct()
+        return references.resolved(self._tokens(), self.tables.read("imports"), definitions, low=low)
 
     def _definition(self, symbol: str, def_path: str | None = None) -> DataFrame:
         """The first definition of a name that references can point at."""
@@ -200,7 +194,9 @@ class Project:
         s = self.tables.read("symbols", state)
         s = s.filter(F.col("path") == scope_file) if scope_file else s
         judged = s.filter((F.col("scope") == "") & F.col("kind").isin(*self.options.referenceable) & rules.entry_reason("path").isNull())
-        return rules.orphans(s, self._references(judged), engine=rules.resolver("path"), scripts=repository.script_functions(self.root), o=self.options)
+        # what a name alone gives is counted by name, never laid out
+        named = self._tokens().groupBy("name").agg(F.count(F.lit(1)).alias("named"))
+        return rules.orphans(s, self._references(judged, low=False), engine=rules.resolver("path"), scripts=repository.script_functions(self.root), named=named, o=self.options)
 
     def deadcode_report(self, scope_file: str | None = None, *, by_name: bool = False) -> dict:
         """Verdicts of symbols and imports, the counts of each, and what they can't see; ``by_name`` opts in to unused imports by name."""

@@ -24,14 +24,21 @@ def decorated_entry(decorators: Column | str) -> Column:
     return F.exists(S.col(decorators), lambda d: d.rlike(verbs) | head(d).isin(*ENTRY_BARE))
 
 
-def orphans(symbols: DataFrame, refs: DataFrame, *, engine: Column, scripts: set[str] = frozenset(), o: Options = DEFAULTS) -> DataFrame:
-    """Top-level referenceable symbols with the verdict of their references (``reexport`` marks re-exports among high ones)."""
+def orphans(symbols: DataFrame, refs: DataFrame, *, engine: Column, scripts: set[str] = frozenset(), named: DataFrame | None = None, o: Options = DEFAULTS) -> DataFrame:
+    """Top-level referenceable symbols with the verdict of their references (``reexport`` marks re-exports among high ones).
+
+    With ``named`` (``name``, ``named``: lines that have the name) the low references are those lines but for the definition's own
+    and those of high references by that name (``aliased`` marks the others).
+    """
     top = symbols.filter((F.col("scope") == "") & F.col("kind").isin(*o.referenceable))
     reexport = F.col("reexport") if "reexport" in refs.columns else F.lit(False)
     sums = refs.groupBy(F.col("def_path").alias("path"), F.col("def_line").alias("line")).agg(
-        F.count_if(F.col("confidence") == "high").alias("high"), F.count_if((F.col("confidence") == "high") & reexport).alias("reexports"), F.count_if(F.col("confidence") == "low").alias("low")
+        F.count_if(F.col("confidence") == "high").alias("high"), F.count_if((F.col("confidence") == "high") & reexport).alias("reexports"), F.count_if(F.col("confidence") == "low").alias("low"),
+        F.count_if((F.col("confidence") == "high") & ~(F.col("aliased") if "aliased" in refs.columns else F.lit(False))).alias("plain"),
     )
-    rows = top.join(sums, ["path", "line"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("high", "reexports", "low")})
+    rows = top.join(sums, ["path", "line"], "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("high", "reexports", "low", "plain")})
+    if named is not None:
+        rows = rows.join(named, "name", "left").withColumn("low", F.greatest(F.coalesce("named", F.lit(0)) - 1 - F.col("plain"), F.lit(0)))
     entry = entry_reason("path").isNotNull()
     if "decorators" in symbols.columns:
         entry = entry | F.coalesce(decorated_entry("decorators"), F.lit(False))

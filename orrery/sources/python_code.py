@@ -10,20 +10,22 @@ import ast
 import hashlib
 import io
 import json
+import re
 import tokenize
 from collections.abc import Iterator
 from functools import partial
 
 import pandas as pd
+from pyarrow.fs import FileSelector, FileSystem, FileType, LocalFileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rule_tables import SKIP_DIRS
 from ..operators.comments import first_tag
 from ..runtime import ship, stored
+from ..schemas import COMMENTS, FINGERPRINTS, IMPORTS, SYMBOLS
 from . import lexed_code
 from .lexer import language_of
-from ..schemas import COMMENTS, FINGERPRINTS, IMPORTS, SYMBOLS
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
 _LOOPS = (ast.For, ast.AsyncFor, ast.While)
@@ -31,12 +33,45 @@ _FLOW = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncW
 ROWS = {"symbol": SYMBOLS, "comment": COMMENTS, "fingerprint": FINGERPRINTS + ", tokens array<string>", "import": IMPORTS}
 
 
+def _file_system(root: str) -> tuple[FileSystem, str]:
+    return FileSystem.from_uri(root) if re.match(r"[a-z][a-z0-9+.-]*:", root) else (LocalFileSystem(), root)
+
+
+def unlisted(root: str, extensions: tuple[str, ...]) -> list[str]:
+    """Relative paths that Spark's readers take for hidden and pass over: a file or folder below the root starts with ``_`` or a dot."""
+    files, base = _file_system(root)
+    found, folders = [], [base.rstrip("/")]
+    while folders:
+        for entry in files.get_file_info(FileSelector(folders.pop())):
+            if entry.type == FileType.Directory and entry.base_name not in SKIP_DIRS:
+                folders.append(entry.path)
+            elif entry.type == FileType.File and entry.size and entry.base_name.lower().endswith(extensions):
+                found.append(entry.path[len(base.rstrip("/")) + 1 :])
+    return sorted(p for p in found if any(part[0] in "_." for part in p.split("/")))
+
+
 def scan(spark: SparkSession, root: str, extensions: tuple[str, ...] = (".py",)) -> DataFrame:
-    """(``path`` relative to the root, ``text``, ``content_hash``) of the files below ``root``; skipped directories are left out, and so are empty files, which the reader passes over."""
+    """(``path`` relative to the root, ``text``, ``content_hash``) of the files below ``root``; skipped directories and empty files are left out.
+
+    Spark's reader gives all files but those it takes for hidden, such as ``__init__.py``; these are listed and opened by name, one
+    at a time.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     prefix = root.rstrip("/") + "/"
-    path = F.substring_index(F.regexp_replace("path", r"^[a-z]+:/*", "/"), prefix, -1)
-    rows = files.select(path.alias("path"), F.expr("make_valid_utf8(cast(content AS string))").alias("text"), F.sha2("content", 256).alias("content_hash"))
+    path = F.substring_index(F.regexp_replace("path", r"^[a-z]+:/*", "/"), re.sub(r"^[a-z]+:/*", "/", prefix), -1)
+    rows = files.select(path.alias("path"), "content")
+    if names := unlisted(root, extensions):
+
+        def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            system, base = _file_system(root)
+            for batch in batches:
+                for name in batch["path"]:
+                    with system.open_input_file(f"{base.rstrip('/')}/{name}") as f:
+                        yield pd.DataFrame({"path": [name], "content": [f.read()]})
+
+        ship(spark)
+        rows = rows.unionByName(spark.createDataFrame([(n,) for n in names], "path string").mapInPandas(read, "path string, content binary"))
+    rows = rows.select("path", F.expr("make_valid_utf8(cast(content AS string))").alias("text"), F.sha2("content", 256).alias("content_hash"))
     rows = rows.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$"))
     return rows.filter(~F.exists(F.split("path", "/"), lambda p: p.isin(*SKIP_DIRS)))
 
@@ -190,8 +225,11 @@ def rows_of(path: str, text: str) -> Iterator[tuple[str, dict]]:
             yield comment(t.start[0], t.end[0], "line", False, "", None, t.string)
     for n in ast.walk(tree):
         if isinstance(n, ast.ImportFrom):
+            # a relative import is stated from the root
+            folders = path.split("/")[:-1] if n.level else []
+            module = ".".join([*folders[: len(folders) + 1 - n.level], *([n.module] if n.module else [])]) if n.level else n.module
             for a in n.names:
-                yield "import", {"path": path, "module": n.module or "", "name": a.name, "alias": a.asname or a.name, "line": n.lineno}
+                yield "import", {"path": path, "module": module, "name": a.name, "alias": a.asname or a.name, "line": n.lineno}
         elif isinstance(n, ast.Import):
             for a in n.names:
                 yield "import", {"path": path, "module": a.name, "name": None, "alias": a.asname or a.name, "line": n.lineno}
