@@ -199,3 +199,48 @@ def test_map_of_all_sources(spark, tmp_path):
     assert 5 < rounds < 100 and len(got) == min(len(want), 166) and {i.split("/")[0] for i in got} == {"src0", "src1", "src2", "src3"}
     assert all(abs(want[i] - v) < 2e-8 for i, v in got.items())
     assert min(got.values()) >= sorted(want.values(), reverse=True)[len(got) - 1] - 2e-8
+
+
+def odd_docs(spark, path, twice=False):
+    texts = ["a b a\nc a\n\n1\nb\nb b\nx", "1\n2 a\n\n\n\na c\nq a q\n\n\n\n7\na", "7\nb b\n8", "", None, "dup x\n" * 12, "one"]
+    texts += [f"dup w{i} well_named\n_p a\n\n\n\ndup dup b\n\n\n\n\n9\ndup well_named _p" for i in range(24)]
+    rows = [(i, f"src{i % 3}", t) for i, t in enumerate(texts)] + ([(0, "src0", "b a\nwell_named")] if twice else [])
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{path}/documents.parquet")
+    return spark.read.parquet(f"{path}/documents.parquet")
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_tokens_inside_rows(spark, tmp_path, twice):
+    from orrery.sources import corpus
+
+    docs = odd_docs(spark, tmp_path, twice)
+    assert corpus.paths_differ(docs) is not twice
+    want = sorted(map(tuple, edges.tokens(corpus.lines(docs), lower=True).collect()))
+    fast = corpus.tokens(docs)
+    assert sorted(map(tuple, fast.collect())) == want
+    # counted inside the row: the plan deals nothing out
+    assert twice or "Exchange" not in fast._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tokens_meet_names_before_the_shuffle(spark, tmp_path, monkeypatch):
+    from orrery.sources import corpus
+
+    docs = odd_docs(spark, tmp_path)
+    rows, names = corpus.tokens(docs), corpus.symbols(docs).select("name")
+    kept = edges.known(rows, names)
+    assert kept.join(names.distinct(), "name").count() == kept.count() < rows.count()
+    monkeypatch.setattr(edges, "MOST_HASHES", 0)
+    assert edges.known(rows, names).count() == rows.count()
+
+
+def test_placed_tokens_and_their_edges(spark, tmp_path):
+    from orrery.sources import corpus
+
+    docs = odd_docs(spark, tmp_path)
+    placed, symbols = corpus.placed_tokens(docs), corpus.symbols(docs)
+    assert sorted(map(tuple, placed.select("path", "line", "name", "mult").collect())) == sorted(map(tuple, corpus.tokens(docs).collect()))
+    points = placed.select(F.col("path").alias("src_path"), F.col("line").alias("src_line"), "node_line", "node_kind").distinct()
+    want = edges.innermost(points, symbols).select("src_path", "src_line", "node_line", "node_kind")
+    assert {tuple(r) for r in points.collect()} == {tuple(r) for r in want.collect()}
+    fix = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
+    assert fix(edges.node_edges(corpus.refs_demo(docs, placed=True), symbols)) == fix(edges.node_edges(corpus.refs_demo(docs), symbols)) != []
