@@ -244,3 +244,28 @@ def test_placed_tokens_and_their_edges(spark, tmp_path):
     assert {tuple(r) for r in points.collect()} == {tuple(r) for r in want.collect()}
     fix = lambda df: sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in df.collect())
     assert fix(edges.node_edges(corpus.refs_demo(docs, placed=True), symbols)) == fix(edges.node_edges(corpus.refs_demo(docs), symbols)) != []
+
+
+@pytest.mark.parametrize("cap", [3, 20, None])
+@pytest.mark.parametrize("twice", [False, True])
+def test_map_without_edges(spark, tmp_path, cap, twice):
+    from dataclasses import replace
+
+    from orrery.options import DEFAULTS
+    from orrery.sources import corpus
+
+    docs, o = odd_docs(spark, tmp_path, twice), replace(DEFAULTS, max_fanout=cap)
+    how = {"budget": 12 * 1000, "rounds": 6, "tolerance": None}
+    got = {r["id"]: r["score"] for r in ranking.name_map(docs, o, **how).collect()}
+    want = {r["id"]: r["score"] for r in ranking.symbol_map(corpus.symbols(docs), corpus.name_edges(docs, o), **how).collect()}
+    assert got == pytest.approx(want, abs=2e-8)
+
+
+def test_whole_map_has_common_names(spark, tmp_path, monkeypatch):
+    from functools import partial
+
+    odd_docs(spark, tmp_path)
+    monkeypatch.setattr(ranking, "name_map", partial(ranking.name_map, rounds=3, tolerance=None))
+    got = {r["id"]: r["score"] for r in ranking.map_whole(spark, str(tmp_path)).collect()}
+    # "dup" has more than 20 definitions: with the cap they got nothing and all scored alike
+    assert got["src2/5:1:module"] > 1.5 * got["src2/5:1:block"]
