@@ -269,3 +269,23 @@ def test_whole_map_has_common_names(spark, tmp_path, monkeypatch):
     got = {r["id"]: r["score"] for r in ranking.map_whole(spark, str(tmp_path)).collect()}
     # "dup" has more than 20 definitions: with the cap they got nothing and all scored alike
     assert got["src2/5:1:module"] > 1.5 * got["src2/5:1:block"]
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_usage_counts_bodies_in_their_rows(spark, tmp_path, monkeypatch, twice):
+    from dataclasses import replace
+
+    from orrery.options import DEFAULTS
+    from orrery.plans import code_graph
+    from orrery.sources import corpus
+
+    docs = odd_docs(spark, tmp_path, twice)
+    for cap in (3, 20, None):
+        o = replace(DEFAULTS, max_fanout=cap)
+        want = edges.external_usage(corpus.symbols(docs), corpus.name_edges(docs, o))
+        assert sorted(map(tuple, corpus.usage(docs, o).collect())) == sorted(map(tuple, want.collect())) != []
+    # tokens are only dealt out by name: no filter by name and path, which was given up at a few million definitions
+    seen = []
+    monkeypatch.setattr(edges, "known", lambda rows, keys, f=edges.known: (seen.append((keys.columns, rows.columns)), f(rows, keys))[1])
+    code_graph.external_usage(spark, str(tmp_path)).collect()
+    assert twice or seen == [(["name"], ["name"])]
