@@ -199,3 +199,29 @@ def test_stream_debounce_and_maintenance(spark, tmp_path):
 
 def test_options_are_guarded():
     assert Options(min_similarity=7).min_similarity == 1.0 and Options(min_similarity=float("nan")).min_similarity == 0.8 and DEFAULTS.max_hops == 5
+
+
+def test_text_index_equals_the_expressions(spark):
+    import random
+
+    from orrery.operators import winnow
+
+    rnd = random.Random(4)
+    texts = [None, "", " ,.", "One", "a b c d", "A b, c-d e", "Kelvin İx Été a1 B2 c3", "x " * 40]
+    # five words and four spaces: one block holds 55 bytes
+    texts += [" ".join(["q" * 10] * 4 + ["q" * n]) for n in range(9, 15)] + ["w" * 500, " ".join(["z" * 70] * 9)]
+    texts += ["; ".join("".join(rnd.choice("abcXYZ09") for _ in range(rnd.choice([1, 3, 8, 13]))) for _ in range(n)) for n in (5, 6, 7, 8, 9, 10, 200, 5000)]
+    # an id that repeats has the values of all its rows
+    docs = spark.createDataFrame([(max(i, 1), t) for i, t in enumerate(texts)], "doc_id int, text string")
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    want = clones.fingerprint_index(docs, words, keys=("doc_id",))
+    got = winnow.text_index(docs, "doc_id")
+    assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_near_pairs_deal_the_index_out_once(spark):
+    rows = [(u, v) for u in "ab" for v in range(30)] * 2 + [(f"x{i}", 7) for i in range(60)]
+    got = clones.near_pairs(spark.createDataFrame(rows, "unit string, fp_value bigint"), spark.createDataFrame([(u, u) for u in "ab"], "unit string, shape_hash string"))
+    assert [tuple(r) for r in got.collect()] == [("a", "b", 29, 1.0)]
+    # values were counted, filtered and joined by shuffles of their own
+    assert "hashpartitioning(fp_value" not in got._jdf.queryExecution().executedPlan().toString()
