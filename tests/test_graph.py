@@ -289,3 +289,25 @@ def test_usage_counts_bodies_in_their_rows(spark, tmp_path, monkeypatch, twice):
     monkeypatch.setattr(edges, "known", lambda rows, keys, f=edges.known: (seen.append((keys.columns, rows.columns)), f(rows, keys))[1])
     code_graph.external_usage(spark, str(tmp_path)).collect()
     assert twice or seen == [(["name"], ["name"])]
+
+
+@pytest.mark.parametrize("most", [0, 1])
+def test_only_lines_of_shared_paths_are_added_up_by_a_shuffle(spark, tmp_path, monkeypatch, most):
+    from orrery.sources import corpus
+
+    docs = odd_docs(spark, tmp_path, True)
+    want = sorted(map(tuple, edges.tokens(corpus.lines(docs), lower=True).collect()))
+    usage = sorted(map(tuple, edges.external_usage(corpus.symbols(docs), corpus.name_edges(docs)).collect()))
+    seen = []
+
+    def spy(rows, *, lower=False, apart=False, f=edges.tokens):
+        seen.append((apart, {r["path"] for r in rows.collect()}))
+        return f(rows, lower=lower, apart=apart)
+
+    monkeypatch.setattr(edges, "tokens", spy)
+    monkeypatch.setattr(corpus, "MOST_PATHS", most)
+    assert sorted(map(tuple, corpus.tokens(docs).collect())) == want
+    # one repeated path took all lines that way before; beyond the bound it still does
+    (inside, apart), (added, shared) = seen
+    assert inside and not added and (shared == {"src0/0"} and "src0/0" not in apart if most else not apart and len(shared) > 20)
+    assert sorted(map(tuple, corpus.usage(docs).collect())) == usage
