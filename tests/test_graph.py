@@ -311,3 +311,29 @@ def test_only_lines_of_shared_paths_are_added_up_by_a_shuffle(spark, tmp_path, m
     (inside, apart), (added, shared) = seen
     assert inside and not added and (shared == {"src0/0"} and "src0/0" not in apart if most else not apart and len(shared) > 20)
     assert sorted(map(tuple, corpus.usage(docs).collect())) == usage
+
+
+@pytest.mark.parametrize("twice", [False, True])
+def test_more_names_than_hashes_still_keep_tokens_from_the_shuffle(spark, tmp_path, monkeypatch, twice):
+    from orrery.sources import corpus
+
+    docs = odd_docs(spark, tmp_path, twice)
+    rows, fix = corpus.tokens(docs), lambda df: sorted(map(tuple, df.collect()))
+    names = spark.createDataFrame([("a",), ("b",), ("well_named",), ("w3",), ("w7",), ("not_there",)], "name string")
+    want, refs = fix(rows.join(names, "name", "left_semi")), fix(corpus.refs_demo(docs))
+    monkeypatch.setattr(edges, "MOST_HASHES", 5)
+    kept = edges.known(rows, names)
+    # all rows stayed before, where there were more names than hashes
+    assert fix(kept.join(names, "name", "left_semi")) == want and len(want) <= kept.count() < rows.count() / 2
+    assert fix(corpus.refs_demo(docs)) == refs != []
+    # lines of shared paths meet the names before they are added up, too
+    plan = kept._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not twice or max(i for i, x in enumerate(plan) if "LeftSemi" in x and "_bits" in x) > min(i for i, x in enumerate(plan) if "Aggregate [" in x)
+
+
+def test_bloom_words_lose_no_key_and_let_few_others_pass(spark, monkeypatch):
+    monkeypatch.setattr(edges, "MOST_HASHES", 4_000)
+    name = F.concat(F.lit("n"), F.col("id").cast("string")).alias("name")
+    keys, others = spark.range(20_000).select(name), spark.range(20_000, 60_000).select(name)
+    assert edges.known(keys, keys).count() == 20_000
+    assert edges.known(others, keys).count() < 0.02 * 40_000
