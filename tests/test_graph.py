@@ -337,3 +337,15 @@ def test_bloom_words_lose_no_key_and_let_few_others_pass(spark, monkeypatch):
     keys, others = spark.range(20_000).select(name), spark.range(20_000, 60_000).select(name)
     assert edges.known(keys, keys).count() == 20_000
     assert edges.known(others, keys).count() < 0.02 * 40_000
+
+
+def test_references_take_the_texts_apart_once(spark, tmp_path, monkeypatch):
+    from orrery.plans import code_graph
+    from orrery.sources import corpus
+
+    odd_docs(spark, tmp_path)
+    made = []
+    monkeypatch.setattr(corpus, "symbols", lambda docs, f=corpus.symbols: (made.append(1), f(docs))[1])
+    graphs = (code_graph.orphan_verdict_blocks(spark, str(tmp_path)), ranking.call_up(spark, str(tmp_path)))
+    # the plans read stored symbols: no text is split for them again
+    assert len(made) == 2 and "regexp_extract(" not in graphs[0]._jdf.queryExecution().optimizedPlan().toString()
